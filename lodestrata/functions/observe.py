@@ -20,7 +20,7 @@ def rounded_duration(x: Column) -> Column:
 
 def half_even(x: Column, digits: int = 4) -> Column:
     """Rounding of the exact binary value, ties to even, as scripting languages round."""
-    return F.format_number(x, "0." + "0" * digits).cast("double")
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double")
 
 
 def ratio(n: Column, d: Column, digits: int = 4) -> Column:
