@@ -1,7 +1,8 @@
 """Removal of repeated byte strings by deep-shallow sorted suffixes.
 
 Suffixes start at anchors only: the smallest hashed gram of every window as long as the
-wanted match, so that two equal strings hold the same anchor at the same place. Suffixes
+wanted match, chosen by the window's bytes alone, so that two equal strings hold the same
+anchor at the same place. Suffixes
 whose anchors share a gram meet in one task, with as many bytes before and after as a
 match can need. There they are sorted in both directions, by multikey quicksort to a
 shallow depth and by blind tries below it, and the common prefixes tell what is repeated.
@@ -26,8 +27,8 @@ LENGTH = 400
 GRAM = 64
 #: Bytes that multikey quicksort sorts by before blind tries take over.
 SHALLOW = 32
-#: Occurrences of a gram that one task takes (some 25 MB); windows of more frequent ones are compared by their digests.
-CROWD = 32_768
+#: Occurrences of a gram that one task takes (some 100 MB); windows of more frequent ones are compared by their digests.
+CROWD = 1 << 17
 #: Up to so many removed spans are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 17
 
@@ -55,11 +56,19 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors: of each window of `length` bytes the gram with the smallest hash, the first of equals."""
+def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(places, hashes, spans): the anchors of the windows of `length` bytes, and bytes that windows repeat right here.
+
+    A window's anchor is its gram with the smallest hash. Of equals it is the first, or the
+    last where the first is within a gram of the window's start, so that a run with a short
+    period has an anchor at its start and one at its end. Windows that hold such equals are
+    compared with each other at once: those that repeat give a span, and only the first of
+    them an anchor, so that a long run has no anchor for each of its periods.
+    """
     width = length - gram + 1
     powers, inverse = _powers()
-    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    data = raw.tobytes()
+    places, hashes, spans = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
     for start in range(0, len(raw) - length + 1, _BLOCK):
         part = raw[start : start + _BLOCK + length - 1]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[part] * powers[: len(part)])])
@@ -67,12 +76,26 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
         h ^= h >> np.uint64(33)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-        at = (_sliding_min((h & ~np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64), width) & np.uint64(_PLACE)).astype(np.int64)
-        at = at[np.append(True, at[1:] != at[:-1])]
+        high, place, mask = h & ~np.uint64(_PLACE), np.arange(len(h), dtype=np.uint64), np.uint64(_PLACE)
+        first = (_sliding_min(high | place, width) & mask).astype(np.int64)
+        last = _PLACE - (_sliding_min(high | (mask - place), width) & mask).astype(np.int64)
+        chosen = np.where(first - np.arange(len(first)) < gram, last, first)
+        tied = np.flatnonzero(first != last)
+        if len(tied):
+            whole = (sums[tied + length] - sums[tied]) * inverse[tied]
+            _, lead, group = np.unique(whole, return_index=True, return_inverse=True)
+            lead = tied[lead][group]
+            again = np.array([i != j and data[start + i : start + i + length] == data[start + j : start + j + length] for i, j in zip(tied.tolist(), lead.tolist())], bool)
+            repeated = np.union1d(tied[again], lead[again])
+            if len(repeated):
+                runs = np.split(repeated, np.flatnonzero(np.diff(repeated) > 1) + 1)
+                spans += [(start + int(r[0]), start + int(r[-1]) + length) for r in runs]
+                chosen = np.delete(chosen, tied[again])
+        at = np.unique(chosen)
         places.append(at + start)
         hashes.append(h[at])
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
+    place, index = np.unique(np.concatenate(places), return_index=True)
+    return place, np.concatenate(hashes)[index], spans
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -213,17 +236,19 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                keys, places, hashes = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                part, keys, places, ends, grams = batch.slice(at, 128), [], [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    place, h = anchors(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), length, gram)
-                    keys += [key] * len(place)
-                    places.append(place)
-                    hashes.append(h)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes).view(np.int64))], ["key", "place", "gram"])
+                    place, h, spans = anchors(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), length, gram)
+                    keys += [key] * (len(place) + len(spans))
+                    places += place.tolist() + [a for a, _ in spans]
+                    ends += [None] * len(place) + [b for _, b in spans]
+                    grams += h.view(np.int64).tolist() + [None] * len(spans)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in (places, ends, grams))], ["key", "place", "end", "gram"])
 
     long = texts.where(F.octet_length("text") >= length)
-    found = staged(long.select("key", "text").mapInArrow(find, "key binary, place long, gram long").distinct(), "anchors")
+    both = staged(long.select("key", "text").mapInArrow(find, "key binary, place long, end long, gram long").distinct(), "anchors")
+    here = both.where("gram IS NULL").select("key", F.col("place").alias("start"), "end")
+    found = both.where("gram IS NOT NULL").select("key", "place", "gram")
     often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     places = found.join(often, "gram").groupBy("key").agg(F.collect_list(F.struct("place", "gram", "n")).alias("places"))
     one = long.groupBy("key").agg(F.min("doc_id").alias("rep"))
@@ -269,6 +294,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
                 yield pa.RecordBatch.from_arrays([pa.array([g] * len(digests), pa.int64()), pa.array(offsets, pa.int64()), pa.array(digests, pa.binary()), pa.array([key] * len(digests), pa.binary()), pa.array([place] * len(digests), pa.int64())], ["gram", "offset", "digest", "key", "place"])
 
     matched = around.where(F.col("n") <= crowd).select("gram", "key", "place", "before", "after").repartition("gram").sortWithinPartitions("gram").mapInArrow(match, "key binary, start long, end long")
+    matched = matched.union(here)
     if not often.where(F.col("n") > crowd).limit(1).count():
         return matched
     each = staged(around.where(F.col("n") > crowd).mapInArrow(windows, "gram long, offset long, digest binary, key binary, place long").distinct(), "windows")
