@@ -106,10 +106,12 @@ class WordBpe:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of words in letters: proposals, one vectorised test of their pairs, exact merging for those that fail."""
+        if not words:
+            return []
         symbols = [[*w[:-1], w[-1] + self.suffix] for w in words]
         out = [self.proposed(s) for s in symbols]
         lengths = np.array([len(x) for x in out])
-        flat = np.concatenate([np.asarray(x, np.int64) for x in out]) if out else np.zeros(0, np.int64)
+        flat = np.concatenate([np.asarray(x, np.int64) for x in out])
         owner = np.repeat(np.arange(len(out)), lengths)
         inside = owner[1:] == owner[:-1]
         pairs, at = np.unique(flat[:-1][inside] << 32 | flat[1:][inside], return_inverse=True)
