@@ -14,93 +14,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, staged
+from .common import broadcast_if, documents, staged
 
-#: Leading tokens of a leaf; fixed tokens that a line needs to take part; share of places in which it must agree with a template.
+#: Leading tokens of a leaf; fixed tokens that a line needs to take part; share of its fixed tokens in which it must agree with a template.
 LEADING, LEAST_FIXED, AGREE = 3, 5, 0.8
 MEMO_TOKENS = 200_000
-_FIELD = b"\0\0"
+#: Up to so many numbers of dropped lines are broadcast (some 16 MB); more are joined by a shuffle.
+BROADCAST_LINES = 1 << 20
+_FIELD = "<*>"
 _DIGIT = re.compile(r"[0-9]")
 
 
-def token_code(token: str) -> bytes:
-    """Two bytes for a token, zero for a field. Lines are compared by these codes."""
-    return _FIELD if _DIGIT.search(token) else (1 + zlib.crc32(token.encode("utf-8", "replace")) % 65535).to_bytes(2, "big")
+def token_code(token: str) -> int:
+    """A byte for a token, zero for a field. Lines of a leaf are compared by these codes."""
+    return 0 if token == _FIELD else 1 + zlib.crc32(token.encode("utf-8", "replace")) % 255
 
 
-def coded_lines(text: str, memo: dict[str, bytes]) -> Iterator[tuple[int, bytes]]:
-    """(number, codes) of the lines that take part."""
+def coded_lines(text: str, memo: dict[str, tuple[str, int]]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(number, hash of the leaf, hash of the line, codes) of the lines that take part; fields are masked in all three."""
     for number, line in enumerate(text.split("\n")):
         tokens = line.split()
         if len(tokens) < LEAST_FIXED:
             continue
         for t in tokens:
             if t not in memo:
-                memo[t] = token_code(t)
-        code = b"".join(map(memo.__getitem__, tokens))
-        fixed = len(tokens) - sum(memo[t] == _FIELD for t in tokens)
-        if fixed >= LEAST_FIXED and 2 * fixed >= len(tokens):
-            yield number, code
+                masked = _FIELD if _DIGIT.search(t) else t
+                memo[t] = masked, token_code(masked)
+        masked, codes = zip(*map(memo.__getitem__, tokens))
+        fixed = len(codes) - codes.count(0)
+        if fixed >= LEAST_FIXED and 2 * fixed >= len(codes):
+            leaf = f"{len(codes)} {' '.join(masked[:LEADING])}"
+            yield number, _hash(leaf), _hash(" ".join(masked)), bytes(codes)
 
 
-def leaf_of(code: bytes) -> bytes:
-    return len(code).to_bytes(4, "big") + code[: 2 * LEADING]
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
 class Leaf:
     """The templates of one leaf, in the order in which they came up."""
 
     def __init__(self, tokens: int):
-        self.need = max(LEAST_FIXED, int(np.ceil(AGREE * tokens)))
-        self.places = np.zeros((4, tokens), np.uint16)
-        self.used = 0
-
-    def place(self, code: bytes) -> int:
-        """The number of the template that takes the line: the one that agrees most, the first of equals, or a new one."""
-        line = np.frombuffer(code, ">u2")
-        own = self.places[: self.used]
-        agree = ((own == line) & (own != 0)).sum(1)
-        if self.used and agree.max() >= self.need:
+        self.places = np.zeros((4, tokens), np.uint8)
+        self.names: list[int] = []
+
+    def place(self, code: bytes, name: int) -> int:
+        """The name of the template that takes the line: the one that agrees most, the first of equals, or a new one."""
+        line = np.frombuffer(code, np.uint8)
+        own = self.places[: len(self.names)]
+        if len(own):
+            agree = ((own == line) & (own != 0)).sum(1)
             best = int(agree.argmax())
-            self.places[best][self.places[best] != line] = 0
-            return best
-        if self.used == len(self.places):
+            if agree[best] >= max(LEAST_FIXED, AGREE * np.count_nonzero(line)):
+                self.places[best][self.places[best] != line] = 0
+                return self.names[best]
+        if len(own) == len(self.places):
             self.places = np.concatenate([self.places, np.zeros_like(self.places)])
-        self.places[self.used] = line
-        self.used += 1
-        return self.used - 1
+        self.places[len(self.names)] = line
+        self.names.append(name)
+        return name
 
 
-def templates(distinct: DataFrame) -> DataFrame:
-    """(code, template) of each distinct line; a template is named by its leaf and number.
+def templates(named: DataFrame) -> DataFrame:
+    """The columns of the distinct lines (leaf, lh, code, ...) but the code, and the template, named by its first line.
 
     Lines of a leaf come sorted through one task, which keeps the templates of a single leaf.
     """
+    kept = [c for c in named.columns if c not in ("leaf", "lh", "code")]
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, leaf = None, None
+        now, leaf = None, None
         for batch in batches:
-            codes, out = batch.column(1).to_pylist(), []
-            for own, code in zip(batch.column(0).to_pylist(), codes):
-                if own != name:
-                    name, leaf = own, Leaf(len(code) // 2)
-                out.append(own + leaf.place(code).to_bytes(8, "big"))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["code", "template"])
+            out = []
+            for own, lh, code in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if own != now:
+                    now, leaf = own, Leaf(len(code))
+                out.append(leaf.place(code, lh))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(out, pa.int64())], ["leaf", "lh", *kept, "template"])
 
-    leaf = F.expr(f"concat(unhex(lpad(hex(octet_length(code)), 8, '0')), substring(code, 1, {2 * LEADING}))")
-    return distinct.select(leaf.alias("leaf"), "code").repartition("leaf").sortWithinPartitions("leaf", "code").mapInArrow(grow, "code binary, template binary")
+    schema = T.StructType([*(named.schema[c] for c in ("leaf", "lh", *kept)), T.StructField("template", T.LongType())])
+    return named.select("leaf", "lh", "code", *kept).repartition("leaf").sortWithinPartitions("leaf", "code", "lh").mapInArrow(grow, schema)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, dropped) for documents that lose lines; h is the text's hash, dropped the numbers of the lines."""
+    """(doc_id, h, dropped) for documents that lose lines; h is the text's hash, dropped the numbers of the lines.
+
+    Lines whose leaf occurs once go no further; of the others the distinct ones form templates.
+    """
     texts = documents(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, bytes] = {}
+        memo: dict[str, tuple[str, int]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -108,23 +117,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     memo.clear()
                 rows = [(i, *x) for i, text in enumerate(part.column(2).to_pylist()) for x in coded_lines(text, memo)]
                 if rows:
-                    at_row, numbers, codes = zip(*rows)
+                    at_row, numbers, leaves, hashes, codes = zip(*rows)
                     take = pa.array(at_row, pa.int32())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(codes, pa.binary())], ["doc_id", "h", "line", "code"])
-
-    kind = texts.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("code", T.BinaryType())])
-    lines = staged(texts.select("doc_id", "h", "text").mapInArrow(run, schema), "lines")
-    at = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", "line")
-    distinct = lines.groupBy("code").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    named = staged(distinct, "distinct")
-    grown = templates(named)
-    of = named.join(grown, "code")
-    first = of.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    same = (F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))) & (F.col("first.h") == F.col("last.h"))
-    recurring = of.select("code", "template").join(first.where(~same).select("template", "first"), "template").select("code", "first")
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(take), part.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(leaves, pa.int64()), pa.array(hashes, pa.int64()), pa.array(codes, pa.binary())],
+                        ["doc_id", "h", "line", "leaf", "lh", "code"],
+                    )
+
+    kind, long = texts.schema["doc_id"].dataType, T.LongType()
+    fields = (("doc_id", kind), ("h", long), ("line", T.IntegerType()), ("leaf", long), ("lh", long), ("code", T.BinaryType()))
+    lines = staged(texts.select("doc_id", "h", "text").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields])), "lines")
+    live = lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
+    none = F.isnull("doc_id").alias("none")
+    named = lines.join(live, "leaf").groupBy("leaf", "lh").agg(F.first("code").alias("code"), F.min(F.struct(none, "doc_id", "h", "line")).alias("first"), F.max(F.struct(none, "doc_id", "h")).alias("last"))
+    grown = staged(templates(named), "templates")
+    whole = grown.groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    same = F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("first.h") == F.col("last.h"))
+    recurring = grown.select("leaf", "lh", "template").join(whole.where(~same).select("leaf", "template", "first"), ["leaf", "template"]).select("leaf", "lh", "first")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("line") == F.col("first.line"))
-    return lines.join(recurring, "code").where(~stays).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    return lines.drop("code").join(recurring, ["leaf", "lh"]).where(~stays).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +147,8 @@ def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     repeat id and text are one document. A null text stays null, an empty one empty; a
     document may lose all its lines and is then empty. An empty table stays empty.
     """
-    drops = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_drop_id"), F.col("h").alias("_drop_h"), "dropped")
+    drops = staged(dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_drop_id"), F.col("h").alias("_drop_h"), "dropped"), "dropped")
+    drops = broadcast_if(drops, drops.select(F.sum(F.size("dropped") + 4)).first()[0] or 0, BROADCAST_LINES)
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_h"))
     joined = packed.join(drops, F.col("_id").eqNullSafe(F.col("_drop_id")) & (F.col("_h") == F.col("_drop_h")), "left")
     parts = F.split(F.col("row")[text_col], "\n", -1)

@@ -81,13 +81,13 @@ ORACLES = {
         FROM t""",
     "op7_nearest": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0),
-        n AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, x -> x * x), (s, x) -> s + x)) AS norm FROM v),
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        n AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda s, x: s + x)) AS norm FROM v),
         pairs AS (
             SELECT q.vec_id AS query_id, c.vec_id,
-                   list_reduce(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2]), (s, x) -> s + x) / (q.norm * c.norm) AS score
+                   list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda s, x: s + x) / (q.norm * c.norm) AS score
             FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
