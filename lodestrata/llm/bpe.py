@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, map_batches
 
 #: Words that a task remembers at most; then it starts anew.
 MEMO_WORDS = 200_000
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return texts.mapInArrow(run, schema)
+    return map_batches(texts, run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -216,7 +216,7 @@ def decode(encoded: DataFrame, vocabulary: str, keep: tuple[str, ...] = ()) -> D
                 tokens = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), table.take(ids.flatten()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pc.binary_join(tokens, " ")], [*(f.name for f in kept), "text"])
 
-    return encoded.select(*(f.name for f in kept), "ids").mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
+    return map_batches(encoded.select(*(f.name for f in kept), "ids"), run, T.StructType([*kept, T.StructField("text", T.StringType())]))
 
 
 def ids_text(column: str = "ids"):

@@ -6,9 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows that Spark sends to a Python worker at once, unless the session sets it: a row may hold a text of many kilobytes.
+BATCH_ROWS = 512
 
 _local_root: list[str] = []
 
@@ -44,6 +49,17 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def map_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS rows, so that a worker's buffers stay at some megabytes.
+
+    Where the session has no size of its own for Arrow batches, this sets it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """A broadcast hint for a table of a known number of rows, if that is within the bound; else a shuffle join."""
     return F.broadcast(df) if rows <= most else df

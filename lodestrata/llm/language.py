@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, held_out
+from .common import documents, held_out, map_batches
 
 #: Labelled documents of each language that the model is fitted on at most, by the hash of their ids.
 SAMPLE_PER_LANGUAGE = 400
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return texts.mapInArrow(run, schema)
+    return map_batches(texts, run, schema)
 
 
 def trained(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if, documents, staged
+from .common import broadcast_if, documents, map_batches, staged
 
 #: Leading tokens of a leaf; fixed tokens that a line needs to take part; share of its fixed tokens in which it must agree with a template.
 LEADING, LEAST_FIXED, AGREE = 3, 5, 0.8
@@ -126,7 +126,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind, long = texts.schema["doc_id"].dataType, T.LongType()
     fields = (("doc_id", kind), ("h", long), ("line", T.IntegerType()), ("leaf", long), ("lh", long), ("code", T.BinaryType()))
-    lines = staged(texts.select("doc_id", "h", "text").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields])), "lines")
+    lines = staged(map_batches(texts.select("doc_id", "h", "text"), run, T.StructType([T.StructField(n, t) for n, t in fields])), "lines")
     live = lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
     none = F.isnull("doc_id").alias("none")
     named = lines.join(live, "leaf").groupBy("leaf", "lh").agg(F.first("code").alias("code"), F.min(F.struct(none, "doc_id", "h", "line")).alias("first"), F.max(F.struct(none, "doc_id", "h")).alias("last"))

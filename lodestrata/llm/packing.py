@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import documents
+from .common import documents, map_batches
 
 #: Tokens of a window, and the id that ends each document.
 WINDOW, END = 2048, 1
@@ -174,4 +174,4 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
             yield rows(last[at : at + 1024])
 
     types = [texts.schema["doc_id"].dataType, T.LongType(), T.LongType(), T.BinaryType(), T.LongType(), T.LongType(), T.LongType()]
-    return texts.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, types)]))
+    return map_batches(texts, run, T.StructType([T.StructField(n, t) for n, t in zip(names, types)]))

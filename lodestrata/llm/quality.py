@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, held_out
+from .common import documents, held_out, map_batches
 
 #: Labelled documents that the model is fitted on at most, by the hash of their ids.
 SAMPLE_DOCUMENTS = 3000
@@ -157,7 +157,7 @@ def trained(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
                 rows = [encode_passages(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["label", "passages"])
 
-    sample = rows.select("label", "text").mapInArrow(run, "label int, passages binary").toPandas()
+    sample = map_batches(rows.select("label", "text"), run, "label int, passages binary").toPandas()
     sample = sample.sort_values(["passages", "label"], ignore_index=True)
     return fit([np.frombuffer(p, np.float32).reshape(-1, FEATURES) for p in sample["passages"]], sample["label"].to_numpy(float))
 
@@ -168,22 +168,26 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     A null or empty text is one empty passage. Repeated rows and null ids are scored like
     any other; an empty table gives an empty result.
     """
-    whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if keep_row else []
-    source = docs.select(docs[id_col].alias("doc_id"), *whole, F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    if keep_row:
+        source = docs.select(docs[id_col].alias("doc_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+        place = docs.columns.index(text_col)
+    else:
+        source = documents(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some kilobytes
-    kept = source.schema.fields[:-1]
+    kept = source.schema.fields[: 1 + keep_row]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                bags_of = [encode_passages(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                texts = part.column(1).field(place) if keep_row else part.column(1)
+                bags_of = [encode_passages(t or "") for t in texts.to_pylist()]
                 bags = np.repeat(np.arange(len(bags_of)), [len(b) for b in bags_of])
                 x = np.clip((np.concatenate(bags_of) - own.mean) / own.scale, -8, 8)
                 _, _, weight, _, score = _attention(own, x, bags, len(bags_of))
                 top = np.zeros(len(bags_of))
                 np.maximum.at(top, bags, weight)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score), pa.array(top)], [*(f.name for f in kept), "score", "top_weight"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(score), pa.array(top)], [*(f.name for f in kept), "score", "top_weight"])
 
-    return source.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("top_weight", T.DoubleType())]))
+    return map_batches(source, run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("top_weight", T.DoubleType())]))

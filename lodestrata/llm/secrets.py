@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if, documents, staged
+from .common import broadcast_if, documents, map_batches, staged
 
 #: Up to so many known blobs (64 characters each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 16
@@ -93,7 +93,7 @@ def scan_versions(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _ARROW_SPANS)], ["doc_id", "blob", "spans"])
 
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("blob", T.StringType()), T.StructField("spans", SPANS)])
-    scanned = staged(texts.select("doc_id", "blob", "known", "text").mapInArrow(scan, schema), "scanned")
+    scanned = staged(map_batches(texts.select("doc_id", "blob", "known", "text"), scan, schema), "scanned")
     new = scanned.where("spans is not null").groupBy("blob").agg(F.first("spans").alias("spans"))
     findings = new if old is None else new.unionByName(old)
     findings = findings.where(F.size("spans") > 0)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, documents, staged
+from .common import components, documents, map_batches, staged
 
 #: Members of a bucket that are joined with each other; of larger ones see `links` and `near_links`.
 BUCKET = 64
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int, copies: int = 1, id_col: str = "do
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(copies))], ["doc_id", "h", *names])
 
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *(T.StructField(n, T.LongType()) for n in ["h", *names])])
-    return texts.mapInArrow(run, schema)
+    return map_batches(texts, run, schema)
 
 
 def distance(words: list[str], left: str = "l", right: str = "r") -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if, documents, staged
+from .common import broadcast_if, documents, map_batches, staged
 
 LENGTH = 400
 #: Bytes of an anchor's gram.
@@ -246,7 +246,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in (places, ends, grams))], ["key", "place", "end", "gram"])
 
     long = texts.where(F.octet_length("text") >= length)
-    both = staged(long.select("key", "text").mapInArrow(find, "key binary, place long, end long, gram long").distinct(), "anchors")
+    both = staged(map_batches(long.select("key", "text"), find, "key binary, place long, end long, gram long").distinct(), "anchors")
     here = both.where("gram IS NULL").select("key", F.col("place").alias("start"), "end")
     found = both.where("gram IS NOT NULL").select("key", "place", "gram")
     often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
@@ -269,7 +269,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
                     g, n, k, p, b, a = zip(*rows[first : first + 4096])
                     yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(p, pa.int64()), pa.array(b, pa.binary()), pa.array(a, pa.binary())], names)
 
-    around = sources.mapInArrow(contexts, "gram long, n long, key binary, place long, before binary, after binary")
+    around = map_batches(sources, contexts, "gram long, n long, key binary, place long, before binary, after binary")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_now, group = None, set()
@@ -341,4 +341,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     joined = texts.join(broadcast_if(fates, size, BROADCAST_ROWS), "key", "left").select("doc_id", "text", "whole", "spans")
     long = T.LongType()
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *(T.StructField(n, long) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return joined.mapInArrow(cut, schema)
+    return map_batches(joined, cut, schema)
