@@ -35,11 +35,18 @@ def token_code(token: str) -> int:
     return 0 if token == _FIELD else 1 + zlib.crc32(token.encode("utf-8", "replace")) % 255
 
 
-def coded_lines(text: str, memo: dict[str, tuple[str, int]]) -> Iterator[tuple[int, int, int, bytes]]:
-    """(number, hash of the leaf, hash of the line, codes) of the lines that take part; fields are masked in all three."""
+def coded_lines(text: str, memo: dict[str, tuple[str, int]], every: bool = False) -> Iterator[tuple[int, int, int, bytes]]:
+    """(number, hash of the leaf, hash of the line, codes) of the lines that take part; fields are masked in all three.
+
+    Lines with too few fixed tokens for a template take part if `every` is set: each is a
+    leaf of its own by all its tokens, unmasked, so that it recurs only as a whole.
+    """
     for number, line in enumerate(text.split("\n")):
         tokens = line.split()
         if len(tokens) < LEAST_FIXED:
+            if every and tokens:
+                own = _hash("= " + " ".join(tokens))
+                yield number, own, own, b"\0"
             continue
         for t in tokens:
             if t not in memo:
@@ -50,6 +57,9 @@ def coded_lines(text: str, memo: dict[str, tuple[str, int]]) -> Iterator[tuple[i
         if fixed >= LEAST_FIXED and 2 * fixed >= len(codes):
             leaf = f"{len(codes)} {' '.join(masked[:LEADING])}"
             yield number, _hash(leaf), _hash(" ".join(masked)), bytes(codes)
+        elif every:
+            own = _hash("= " + " ".join(tokens))
+            yield number, own, own, b"\0"
 
 
 def _hash(text: str) -> int:
@@ -101,7 +111,7 @@ def templates(named: DataFrame) -> DataFrame:
     return named.select("leaf", "lh", "code", *kept).repartition("leaf").sortWithinPartitions("leaf", "code", "lh").mapInArrow(grow, schema)
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """(doc_id, h, dropped) for documents that lose lines; h is the text's hash, dropped the numbers of the lines.
 
     Lines whose leaf occurs once go no further; of the others the distinct ones form templates.
@@ -115,7 +125,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 part = batch.slice(at, 256)
                 if len(memo) > MEMO_TOKENS:
                     memo.clear()
-                rows = [(i, *x) for i, text in enumerate(part.column(2).to_pylist()) for x in coded_lines(text, memo)]
+                rows = [(i, *x) for i, text in enumerate(part.column(2).to_pylist()) for x in coded_lines(text, memo, every)]
                 if rows:
                     at_row, numbers, leaves, hashes, codes = zip(*rows)
                     take = pa.array(at_row, pa.int32())
@@ -138,16 +148,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return lines.drop("code").join(recurring, ["leaf", "lh"]).where(~stays).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
-def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """The rows and columns of docs, the text without the recurring lines, plus lines_before and lines_dropped.
 
     Lines are what "\\n" separates. Of a recurring template the line of the smallest id
     (then hash and line number) stays; a null id comes last. Lines with fewer than
-    LEAST_FIXED fixed tokens, or more fields than fixed tokens, never drop. Rows that
+    LEAST_FIXED fixed tokens, or more fields than fixed tokens, drop only with `every`, and
+    then where all their tokens recur, digits included; blank lines never drop. Rows that
     repeat id and text are one document. A null text stays null, an empty one empty; a
     document may lose all its lines and is then empty. An empty table stays empty.
     """
-    drops = staged(dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_drop_id"), F.col("h").alias("_drop_h"), "dropped"), "dropped")
+    drops = staged(dropped_lines(docs, id_col, text_col, every).select(F.col("doc_id").alias("_drop_id"), F.col("h").alias("_drop_h"), "dropped"), "dropped")
     drops = broadcast_if(drops, drops.select(F.sum(F.size("dropped") + 4)).first()[0] or 0, BROADCAST_LINES)
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_h"))
     joined = packed.join(drops, F.col("_id").eqNullSafe(F.col("_drop_id")) & (F.col("_h") == F.col("_drop_h")), "left")

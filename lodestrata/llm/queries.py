@@ -29,7 +29,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = lines.without_recurring_lines(_table(spark, sf_dir, "documents"))
+    left = lines.without_recurring_lines(_table(spark, sf_dir, "documents"), every=True)
     return left.select("doc_id", "lines_before", "lines_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
