@@ -21,8 +21,15 @@ from .common import staged
 SHARD, BLOCK = 8192, 2048
 #: Vectors of a leaf.
 LEAF = 64
-#: Against rounding in distances.
-SLACK = 1e-9
+#: Against rounding in squared distances and in scores.
+SLACK = 1e-12
+#: Candidates whose exact scores are computed at once, or those of a single query.
+EXACT = 65_536
+
+
+def within(gap: np.ndarray) -> np.ndarray:
+    """The distance up to which a vector may score as high as one at this distance, by rounding."""
+    return np.sqrt(gap * gap + SLACK)
 
 
 def usable(vector: Column) -> Column:
@@ -41,19 +48,38 @@ def cosine(left: Column, right: Column) -> Column:
     return dot(left, right) / (F.sqrt(dot(left, left)) * F.sqrt(dot(right, right)))
 
 
+def ordered_dot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Products of the rows of two matrices, summed in order, to the bit as in `cosine`."""
+    out = np.zeros(len(left))
+    for a, b in zip(left.T, right.T):
+        out += a * b
+    return out
+
+
 class Tree:
-    """A vantage-point tree of unit vectors; each distinct vector carries its ids in order."""
+    """A vantage-point tree of unit vectors; each distinct vector, before scaling, carries its ids in order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 11):
-        unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
-        self.points, owner = np.unique(unit, axis=0, return_inverse=True)
+        self.raw, owner = np.unique(vectors, axis=0, return_inverse=True)
+        self._scale()
         order = np.lexsort((ids, owner.ravel()))
-        self.ids, counts = ids[order], np.bincount(owner.ravel(), minlength=len(self.points))
+        self.ids, counts = ids[order], np.bincount(owner.ravel(), minlength=len(self.raw))
         self.first = np.concatenate([[0], np.cumsum(counts)])
         self.rng = np.random.default_rng(seed)
         self.root = self._node(np.arange(len(self.points)))
         del self.rng
 
+    def _scale(self) -> None:
+        self.points = self.raw / np.sqrt((self.raw * self.raw).sum(1))[:, None]
+        self.norms = np.sqrt(ordered_dot(self.raw, self.raw))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("points", "norms")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._scale()
+
     def _node(self, members: np.ndarray) -> tuple:
         if len(members) <= LEAF:
             return (members,)
@@ -81,7 +107,7 @@ class Tree:
             gaps = np.sqrt(np.maximum(0, ((unit[who][:, None, :] - self.points[points][None, :, :]) ** 2).sum(2))) if len(who) * len(points) < 4096 else np.sqrt(np.maximum(0, 2 - 2 * unit[who] @ self.points[points].T))
             repeated = np.repeat(gaps, counts[points], axis=1)
             best[who] = np.partition(np.concatenate([best[who], repeated], axis=1), need - 1, axis=1)[:, :need]
-            reach = best[who].max(1) + 1e-7
+            reach = within(best[who].max(1))
             for row, q in enumerate(who.tolist()):
                 close = gaps[row] <= reach[row]
                 if close.any():
@@ -104,16 +130,33 @@ class Tree:
             for side, first in ((near, inner), (far, ~inner)):
                 descend(side, who[first])
             for side, second in ((far, inner), (near, ~inner)):
-                descend(side, who[second & (np.abs(gap - half) * factor <= best[who].max(1) + SLACK + 1e-7)])
+                descend(side, who[second & (np.abs(gap - half) * factor <= within(best[who].max(1)) + 2e-7)])
 
         descend(self.root, np.arange(len(queries)))
         out = []
         for q in range(len(queries)):
             points = np.concatenate([p for p, _ in found[q]]) if found[q] else np.zeros(0, int)
             gaps = np.concatenate([g for _, g in found[q]]) if found[q] else np.zeros(0)
-            out.append(points[gaps <= best[q].max() + 1e-7])
+            out.append(points[gaps <= within(best[q].max())])
         return out
 
+    def first_ids(self, queries: np.ndarray, own: np.ndarray, points: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's position, id, exact score) of the first k ids of each query among its points, its own id left out."""
+        at = np.repeat(np.arange(len(points)), [len(p) for p in points])
+        flat = np.concatenate(points)
+        norms = np.sqrt(ordered_dot(queries, queries))
+        score = ordered_dot(queries[at], self.raw[flat]) / (norms[at] * self.norms[flat])
+        # a point's ids have one score, so that its k + 1 smallest hold its part of the result
+        counts = np.minimum(self.first[flat + 1] - self.first[flat], k + 1)
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids, at, score = self.ids[np.repeat(self.first[flat], counts) + step], np.repeat(at, counts), np.repeat(score, counts)
+        keep = ids != own[at]
+        ids, at, score = ids[keep], at[keep], score[keep]
+        order = np.lexsort((ids, -score, at))
+        ids, at, score = ids[order], at[order], score[order]
+        chosen = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return at[chosen], ids[chosen], score[chosen]
+
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score (cosine) of the k nearest vectors of each query, ties to the smaller id.
@@ -150,24 +193,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.
             return pd.DataFrame({n: [] for n in names}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         tree: Tree = pickle.loads(right["tree"].iloc[0])
         own, vectors = left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy())
-        out = []
-        for q, points in enumerate(tree.search(vectors, own, k, factor)):
-            per = [tree.ids[tree.first[p] : tree.first[p + 1]][: k + 1] for p in points.tolist()]
-            ids = np.concatenate(per) if per else np.zeros(0, np.int64)
-            scores = np.repeat(tree.points[points] @ (vectors[q] / np.sqrt(vectors[q] @ vectors[q])), [len(x) for x in per])
-            keep = ids != own[q]
-            ids, scores = ids[keep], scores[keep]
-            # candidates within rounding of the k-th, of which the exact score decides
-            floor = np.sort(scores)[-k] - SLACK if len(scores) > k else -np.inf
-            chosen = np.flatnonzero(scores >= floor)
-            chosen = chosen[np.lexsort((ids[chosen], -np.round(scores[chosen], 8)))][: 8 * k]
-            out.append(pd.DataFrame({"query_id": own[q], "vec_id": ids[chosen], "score": scores[chosen]}))
+        points, out, start = tree.search(vectors, own, k, factor), [], 0
+        while start < len(points):
+            stop, size = start + 1, len(points[start])
+            while stop < len(points) and size + len(points[stop]) <= EXACT:
+                size += len(points[stop])
+                stop += 1
+            at, ids, scores = tree.first_ids(vectors[start:stop], own[start:stop], points[start:stop], k)
+            out.append(pd.DataFrame({"query_id": own[start:stop][at], "vec_id": ids, "score": scores}))
+            start = stop
         return pd.concat(out)
 
     found = asked.groupBy("dims", "shard", "block").cogroup(planted.groupBy("dims", "shard", "block")).applyInPandas(look, "query_id long, vec_id long, score double")
-    rough = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), "vec_id")
-    found = found.withColumn("n", F.row_number().over(rough)).where(F.col("n") <= 8 * k)
-    exact = found.join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(rows.select("vec_id", "v"), "vec_id")
-    exact = exact.select("query_id", "vec_id", cosine(F.col("q"), F.col("v")).alias("score"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
