@@ -72,6 +72,34 @@ def fingerprints(docs: DataFrame, words: int, copies: int = 1, id_col: str = "do
     return map_batches(texts, run, schema)
 
 
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node and s, the distinct shingle hashes of the text, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    return map_batches(texts.select("node", "text"), run, "node long, s array<long>")
+
+
+def set_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h (the text's hash), node (XXH64 of the distinct shingle hashes in order) and w0, w1, ... (the wide fingerprint of the distinct shingles) of each row."""
+    texts = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    names = [f"w{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(2)]
+            table = np.array([[xxhash.xxh64_intdigest(s.tobytes(), SEED), *fingerprint(s, WIDE).tolist()] for s in sets], np.uint64).reshape(-1, WIDE + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(WIDE + 1))], ["doc_id", "h", "node", *names])
+
+    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *(T.StructField(n, T.LongType()) for n in ["h", "node", *names])])
+    return map_batches(texts, run, schema)
+
+
 def distance(words: list[str], left: str = "l", right: str = "r") -> Column:
     """Differing bits of the words of two joined rows."""
     return sum((F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in words[1:]), F.bit_count(F.col(f"{left}.{words[0]}").bitwiseXOR(F.col(f"{right}.{words[0]}"))))
@@ -156,61 +184,80 @@ def near_components(docs: DataFrame, words: int = 3, most: int = 2, id_col: str
     return prints.join(of_node, "w0").select("doc_id", "w0", "component_id")
 
 
-#: Words of the wide fingerprint: WIDE - 1 for segments and all for verification; SEGMENT bits of a segment, two in a word.
-WIDE, SEGMENT = 8, 20
-#: Bits of 64 * WIDE that may differ: shingle sets with a similarity of 0.8 differ in 78 on average, 0.77 in 86.
-WIDE_MOST = 86
-#: Bits of the first word that may differ, ahead of the whole verification; 0.8 differs in 10 on average.
+#: Words of the wide fingerprint, each with SEGMENTS segments of SEGMENT bits.
+WIDE, SEGMENTS, SEGMENT = 8, 3, 20
+#: Bits of 64 * WIDE that may differ in a candidate: sets with a similarity of 0.8 differ in 78 on average, with a deviation of 8.
+WIDE_MOST = 110
+#: Bits of the first word that may differ, ahead of the whole distance; 0.8 differs in 10 on average, with a deviation of 3.
 FIRST_MOST = 22
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys `w0` of distinct wide fingerprints that differ in WIDE_MOST bits or fewer.
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("right")), "b")
+    joined = joined.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("common"), (F.size("left").cast("long") + F.size("right")).alias("sum"))
+    return joined.where(F.col("common") * 5 >= (F.col("sum") - F.col("common")) * 4).select("a", "b")
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of `node` whose shingle sets have a similarity of 0.8 or more.
 
-    All words but the first give two segments of SEGMENT bits each. Members of a bucket
+    `nodes` holds distinct shingle sets by `node` with their wide fingerprints, and doc_id
+    and h of one of their texts in `rep`; `texts` holds doc_id, h and text. Candidates share
+    a signature and differ in WIDE_MOST bits or fewer; the sets decide. Members of a bucket
     of up to BUCKET members are compared with each other, those of larger ones with the
     smallest; what remains of a larger bucket comes again in the next round without that
     one, unless it is one component by then. The rounds
     end when nothing remains, so that every pair in a bucket was compared or is connected.
     """
     names = [f"w{k}" for k in range(WIDE)]
-    live = staged(_buckets(signatures(prints, names[1:], 2, SEGMENT, ["w0"])), "signatures")
+    live = staged(_buckets(signatures(nodes, names, SEGMENTS, SEGMENT, ["node"])), "signatures")
     verified: DataFrame | None = None
+    prints = nodes.select("node", *names)
     l, r = prints.alias("l"), prints.alias("r")
     while True:
         large = live.where(F.col("n") > BUCKET)
         small = live.where(F.col("n") <= BUCKET)
-        heads = large.groupBy("sig").agg(F.min("w0").alias("head"))
-        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FIRST_MOST
-        pairs = small.select("sig", F.col("w0").alias("a")).join(small.select("sig", F.col("w0").alias("b")), "sig").where(F.col("a") < F.col("b")).where(near).select("a", "b")
-        star = large.join(heads, "sig").select(F.col("head").alias("a"), F.col("w0").alias("b")).where("a <> b").where(near)
+        heads = large.groupBy("sig").agg(F.min("node").alias("head"))
+        pairs = small.select("sig", F.col("node").alias("a")).join(small.select("sig", F.col("node").alias("b")), "sig").where(F.col("a") < F.col("b")).select("a", "b")
+        star = large.join(heads, "sig").select(F.col("head").alias("a"), F.col("node").alias("b")).where("a <> b")
+        first = F.bit_count(F.col("l.w0").bitwiseXOR(F.col("r.w0"))) <= FIRST_MOST
         pairs = pairs.union(star).distinct()
-        new = pairs.join(l, F.col("a") == F.col("l.w0")).join(r, F.col("b") == F.col("r.w0")).where(distance(names) <= WIDE_MOST).select("a", "b")
+        close = staged(pairs.join(l, F.col("a") == F.col("l.node")).join(r, F.col("b") == F.col("r.node")).where(first).where(distance(names) <= WIDE_MOST).select("a", "b"), "candidates")
+        ends = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
+        reps = nodes.join(ends, "node").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
+        own = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
+        sets = staged(shingle_sets(own.dropDuplicates(["node"]), words), "sets")
+        new = similar(close, sets)
         verified = staged(new if verified is None else verified.union(new).distinct(), "links")
-        rest = large.join(heads, "sig").where("w0 <> head").select("sig", "w0")
-        roots = components(verified)
-        rest = rest.join(roots, rest["w0"] == roots["node"], "left").select("sig", "w0", F.coalesce("root", "w0").alias("root"))
+        rest = large.join(heads, "sig").where("node <> head").select("sig", "node")
+        roots = components(verified).withColumnRenamed("node", "member")
+        rest = rest.join(roots, rest["node"] == roots["member"], "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
         several = rest.groupBy("sig").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig", "n")
-        live = staged(rest.select("sig", "w0").join(several, "sig"), "rest")
+        live = staged(rest.select("sig", "node").join(several, "sig"), "rest")
         if live.limit(1).count() == 0:
             return verified
 
 
 def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (the text's hash), w0, group (its smallest w0) and stays of each row, by the similarity of
-    five-word shingles (0.8 or more) as the wide fingerprint tells it.
+    """doc_id, h (the text's hash), node (its shingle set), group (the smallest node) and stays of each row, by the
+    similarity of five-word shingles (0.8 or more). Each link is verified; the fingerprint only finds candidates.
 
     `stays` holds for the smallest id of a group (null comes last, then the smaller h), and
-    for the rows that repeat it. Null and empty texts are alike, so they are one group.
+    for the rows that repeat it. Texts with equal shingle sets are one node; null and empty
+    texts are alike, so they are one group.
     Repeated rows each stay in the result; an empty table gives an empty one.
     """
-    prints = staged(fingerprints(docs, words, WIDE, id_col, text_col), "fingerprints")
-    nodes = staged(prints.groupBy("w0").agg(*(F.min(f"w{k}").alias(f"w{k}") for k in range(1, WIDE))), "nodes")
-    of_node = components(near_links(nodes)).select(F.col("node").alias("w0"), F.col("root").alias("group"))
-    grouped = prints.select("doc_id", "h", "w0").join(of_node, "w0", "left").withColumn("group", F.coalesce("group", "w0"))
-    first = grouped.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("first"))
+    prints = staged(set_prints(docs, words, id_col, text_col), "fingerprints")
+    none = F.isnull("doc_id").alias("none")
+    # a node's rows share their fingerprint, as it follows from the set
+    nodes = staged(prints.groupBy("node", *(f"w{k}" for k in range(WIDE))).agg(F.min(F.struct(none, "doc_id", "h")).alias("rep")), "nodes")
+    texts = documents(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    of_node = components(near_links(nodes, texts, words)).select("node", F.col("root").alias("group"))
+    grouped = prints.select("doc_id", "h", "node").join(of_node, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    first = grouped.groupBy("group").agg(F.min(F.struct(none, "doc_id", "h")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    return grouped.join(first, "group").select("doc_id", "h", "w0", "group", stays.alias("stays"))
+    return grouped.join(first, "group").select("doc_id", "h", "node", "group", stays.alias("stays"))
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
