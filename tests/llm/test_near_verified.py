@@ -28,3 +28,10 @@ def test_only_pairs_at_the_threshold_go(docs_of):
     assert not [2 * k for k in range(60) if 2 * k not in got]
     found = [p for p in pairs if p[1] >= 0.8]
     assert sum(i not in got for i, _ in found) >= 0.9 * len(found)
+
+
+def test_filler_does_not_make_texts_alike(docs_of):
+    """The repeated shingle would decide every bit if shingles counted with their repeats."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "ha " * 300 + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 120))) for i in range(4)]
+    assert kept(docs_of, rows) == {0, 1, 2, 3}
