@@ -1,176 +1,139 @@
 """BPE encoding and decoding by speculation and verification, for vocabularies with word ends.
 
-A word's tokens are proposed by greedy longest match. A sequence of tokens is what the
-merges give if merging any two neighbours alone gives just these two, so the pairs of all
-proposed words are tested together, each distinct pair once. Only words with a failing
-pair (or a single token that its own merges don't give) are merged exactly.
+A word's tokens are proposed by greedy longest match, all words walking down the
+vocabulary's trie together. A sequence of tokens is what the merges give if merging any
+two neighbours alone gives just these two, so the pairs of all proposed words are tested
+together, each distinct pair once. Only words with a failing pair (or a single token that
+its own merges don't give) are merged exactly.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
-import json
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, map_batches
+from .merging import Encoder, Table, ragged, runs_of
 
 #: Words that a task remembers at most; then it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
+#: Characters that a task encodes at once, or those of one text.
+CHARACTERS = 4_000_000
+#: Below this code point no character combines, and lower case is the same in every version of Unicode.
+PLAIN = chr(0x250)
 
-# Fixed values of the vocabulary file's format: its pre-tokeniser's pattern and white space.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+class WordBpe(Encoder):
+    """The vocabulary of a file, with a memo that lives as long as the worker.
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte: itself if printable in Latin-1, else the next from 256 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
-
-class WordBpe:
-    """The vocabulary of a file, with memos that live as long as the worker."""
+    Characters are told apart, and texts beyond plain ones are normalised, by the library's
+    own components, so that their Unicode tables are the library's.
+    """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.vocab: dict[str, int] = spec["model"]["vocab"]
-        self.suffix: str = spec["model"]["end_of_word_suffix"]
-        self.rank = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*self.vocab.values(), *self.special.values()]) + 1
-        self.tokens = [""] * size
-        for token, i in [*self.vocab.items(), *self.special.items()]:
+        super().__init__(path, False, MEMO_WORDS)
+        self.tokens = [""] * self.merger.size
+        for token, i in [*self.merger.vocab.items(), *self.merger.special.items()]:
             self.tokens[i] = token
-        self.longest = max(map(len, self.vocab))
-        self.letters = dict(enumerate(byte_letters()))
-        self.words = regex.compile(WORD_PATTERN)
-        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.spaces = re.compile(f"[{WHITE_SPACE}]+")
-        self.pair_ok: dict[int, bool] = {}
-        self.own_ok: dict[int, bool] = {}
-        self.memo: dict[str, bytes] = {}
-
-    def symbols(self, token: str) -> list[str]:
-        if token.endswith(self.suffix) and len(token) > len(self.suffix):
-            body = token[: -len(self.suffix)]
-            return [*body[:-1], body[-1] + self.suffix]
-        return list(token)
+        self._grow_trie()
+        self.fits: dict[int, bool] = {}
+
+    def normal(self, text: str) -> str:
+        return text.lower() if text.isascii() or max(text) < PLAIN else self.normalizer.normalize_str(text)
+
+    def _grow_trie(self) -> None:
+        self.of_token: dict[int, list[int]] = {i: self.merger.token_symbols(t) for t, i in self.merger.vocab.items()}
+        children: dict[int, int] = {}
+        token_at = [-1]
+        for i, symbols in self.of_token.items():
+            node = 0
+            for s in symbols:
+                key = node * 512 + s
+                if key not in children:
+                    children[key] = len(token_at)
+                    token_at.append(-1)
+                node = children[key]
+            token_at[node] = i
+        self.children, self.token_at = Table(children), np.array(token_at, np.int32)
+
+    def proposed(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match over words in symbols: (ids in a row, their number for each word)."""
+        ends = np.cumsum(lengths)
+        word = np.arange(len(lengths))
+        at, node = ends - lengths, np.zeros(len(lengths), np.int64)
+        token, after = np.zeros(len(lengths), np.int32), at.copy()  # the longest match so far
+        owners, ids = [], []
+        while len(word):
+            inside = at < ends[word]
+            child = np.full(len(word), -1, np.int64)
+            found = self.children.get(node[inside] * 512 + flat[at[inside]]).astype(np.int64)
+            child[inside] = np.where(found < len(self.token_at), found, -1)
+            alive = child >= 0
+            node, at = np.where(alive, child, 0), at + alive
+            longer = alive & (self.token_at[node] >= 0)
+            token[longer], after[longer] = self.token_at[node[longer]], at[longer]
+            if not alive.all():
+                stuck = ~alive
+                owners.append(word[stuck])
+                ids.append(token[stuck])
+                at[stuck] = after[stuck]
+                left = alive | (at < ends[word])
+                word, at, node, token, after = word[left], at[left], node[left], token[left], after[left]
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        flat_ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        return flat_ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
+
+    def verified(self, sequences: np.ndarray) -> np.ndarray:
+        """Whether the merges give just these tokens, for each key: a pair left << 32 | right, or a single token as -1 - id."""
+        new = [k for k in sequences.tolist() if k not in self.fits]
+        if new:
+            parts = [[k >> 32, k & 0xFFFFFFFF] if k >= 0 else [-1 - k] for k in new]
+            symbols = [[s for t in p for s in self.of_token[t]] for p in parts]
+            ids, counts = self.merger.merge(np.array([s for x in symbols for s in x], np.int64), np.array([len(x) for x in symbols], np.int64))
+            first = np.cumsum(counts) - counts
+            wanted = np.array([len(p) for p in parts])
+            same = (counts == wanted) & (ids[first] == np.array([p[0] for p in parts])) & (ids[first + counts - 1] == np.array([p[-1] for p in parts]))
+            self.fits.update(zip(new, same.tolist()))
+        return np.fromiter(map(self.fits.__getitem__, sequences.tolist()), bool, len(sequences))
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, their number for each word): proposals, one test of their pairs, exact merging for those that fail."""
+        if len(self.fits) > 10 * MEMO_WORDS:
+            self.fits.clear()
+        flat, lengths = self.merger.symbols(words)
+        ids, counts = self.proposed(flat, lengths)
+        owner = np.repeat(np.arange(len(words)), counts)
+        inside = owner[1:] == owner[:-1]
+        single = np.flatnonzero(counts == 1)
+        keys = np.concatenate([ids[:-1][inside].astype(np.int64) << 32 | ids[1:][inside], -1 - ids[(np.cumsum(counts) - counts)[single]].astype(np.int64)])
+        distinct, at = np.unique(keys, return_inverse=True)
+        wrong = ~self.verified(distinct)[at]
+        failing = np.zeros(len(words), bool)
+        failing[np.concatenate([owner[1:][inside], single])[wrong]] = True
+        again = np.flatnonzero(failing)
+        if len(again):
+            starts = np.cumsum(lengths) - lengths
+            exact, exact_counts = self.merger.merge(flat[ragged(starts[again], lengths[again])], lengths[again])
+            owner = np.concatenate([owner[~failing[owner]], np.repeat(again, exact_counts)])
+            ids = np.concatenate([ids[~np.repeat(failing, counts)], exact])[np.argsort(owner, kind="stable")]
+            counts[again] = exact_counts
+        return ids, counts
 
     def merged(self, symbols: list[str]) -> list[int]:
-        """Exact merging: the lowest rank first, from the left; a heap and a linked list keep long words cheap."""
-        parts, n = list(symbols), len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] != left or j < 0 or parts[j] != right:
-                continue
-            parts[i], parts[j] = left + right, ""
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] >= 0 and (r := self.rank.get((parts[a], parts[after[a]]))) is not None:
-                    heapq.heappush(heap, (r, a, parts[a], parts[after[a]]))
-        return [self.vocab[p] for p in parts if p]
-
-    def proposed(self, symbols: list[str]) -> list[int]:
-        """Greedy longest match over the symbols."""
-        text, ends, out, i = "".join(symbols), len(symbols), [], 0
-        while i < ends:
-            for j in range(min(ends, i + self.longest), i, -1):
-                token = self.vocab.get(text[i:] if j == ends else text[i:j])
-                if token is not None:
-                    out.append(token)
-                    i = j
-                    break
-        return out
-
-    def pair_fits(self, left: int, right: int) -> bool:
-        return self.merged(self.symbols(self.tokens[left]) + self.symbols(self.tokens[right])) == [left, right]
+        """Exact merging of one word, in the letters of the vocabulary."""
+        return self.merger.merge_long([self.merger.vocab[s] for s in symbols])
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of words in letters: proposals, one vectorised test of their pairs, exact merging for those that fail."""
-        if not words:
-            return []
-        symbols = [[*w[:-1], w[-1] + self.suffix] for w in words]
-        out = [self.proposed(s) for s in symbols]
-        lengths = np.array([len(x) for x in out])
-        flat = np.concatenate([np.asarray(x, np.int64) for x in out])
-        owner = np.repeat(np.arange(len(out)), lengths)
-        inside = owner[1:] == owner[:-1]
-        pairs, at = np.unique(flat[:-1][inside] << 32 | flat[1:][inside], return_inverse=True)
-        fits = np.ones(len(pairs), bool)
-        for k, pair in enumerate(pairs.tolist()):
-            if (ok := self.pair_ok.get(pair)) is None:
-                ok = self.pair_ok[pair] = self.pair_fits(pair >> 32, pair & 0xFFFFFFFF)
-            fits[k] = ok
-        failing = np.zeros(len(out), bool)
-        failing[owner[1:][inside][~fits[at]]] = True
-        for k in np.flatnonzero(lengths == 1).tolist():
-            token = out[k][0]
-            if token not in self.own_ok:
-                self.own_ok[token] = self.merged(symbols[k]) == [token]
-            failing[k] = not self.own_ok[token]
-        for k in np.flatnonzero(failing).tolist():
-            out[k] = self.merged(symbols[k])
-        return out
-
-    def chunks(self, text: str) -> list[str]:
-        """Runs without white space; a special token is a chunk of its own, marked by a leading space."""
-        if self.cuts is None or not self.cuts.search(text):
-            return self._runs(text)
-        out = []
-        for k, part in enumerate(self.cuts.split(text)):
-            out += [" " + part] if k % 2 else self._runs(part)
-        return out
-
-    def _runs(self, text: str) -> list[str]:
-        if text.isascii() and not re.search("[\x1c-\x1f]", text):
-            return text.split()
-        return [x for x in self.spaces.split(text) if x]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of chunks into the memo."""
-        new = [c for c in chunks if c not in self.memo]
-        parts, words = [], {}
-        for c in new:
-            if c[0] == " ":
-                parts.append(None)
-                continue
-            plain = unicodedata.normalize("NFC", c).replace("\u03a3", "\u03c3").lower()  # letter by letter: no final sigma
-            mapped = [m.encode("utf-8").decode("latin-1").translate(self.letters) for m in self.words.findall(plain)]
-            parts.append(mapped)
-            words.update(dict.fromkeys(mapped))
-        order = list(words)
-        ids = dict(zip(order, self.encode_words(order)))
-        for c, mapped in zip(new, parts):
-            own = [self.special[c[1:]]] if mapped is None else [i for m in mapped for i in ids[m]]
-            self.memo[c] = np.asarray(own, np.int32).tobytes()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
-        if len(self.memo) > MEMO_WORDS or len(self.pair_ok) > 10 * MEMO_WORDS:
-            self.memo.clear()
-            self.pair_ok.clear()
-        split = [self.chunks(t) for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.memo.__getitem__, s)) for s in split]
+        """The ids of words in the letters of the vocabulary."""
+        ids, counts = self.learn([bytes(map(self.merger.byte_of.__getitem__, w)) for w in words])
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if words else []
 
 
 @functools.lru_cache(maxsize=2)
@@ -181,20 +144,21 @@ def load(path: str) -> WordBpe:
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (an array of integers) of each row.
 
-    Null and empty texts give empty arrays, a text of white space too; a null id and
-    repeated rows are kept as they are. The vocabulary's path must exist on every executor.
+    Null and empty texts give empty arrays, a text of white space too; a text of any length
+    is encoded whole. A null id and repeated rows are kept as they are, other columns are
+    not read, so that none clashes; an empty table gives an empty result. The vocabulary's
+    path must exist on every executor.
     """
     texts = documents(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = bpe.encode_batch(part.column(1).to_pylist())
-                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
+            texts = batch.column(1).to_pylist()
+            for at, stop in runs_of([len(t) for t in texts], CHARACTERS):
+                ids, counts = bpe.encode(texts[at:stop])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return map_batches(texts, run, schema)
@@ -203,7 +167,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 def decode(encoded: DataFrame, vocabulary: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in `keep`, and text: the tokens of ids (doc_id, ids, ...) joined by spaces.
 
-    So decodes a vocabulary without a decoder; special tokens are kept. Null ids give an empty text.
+    So decodes a vocabulary without a decoder; special tokens are kept. Null and empty ids
+    give an empty text; null doc_ids, repeated rows and an empty table come out as they are.
     """
     kept = [encoded.schema["doc_id"], *(encoded.schema[c] for c in keep)]
 

@@ -36,6 +36,15 @@ def test_any_text(library, texts):
     check(library, texts)
 
 
+def test_characters_of_other_unicode_versions(library):
+    check(library, [":\U0003d000", ":\u0558a", ":\u1c89a \ua7cb"])
+
+
+def test_every_code_point(library):
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    check(library, [" ".join(f":{c}a" for c in points[at : at + 512]) for at in range(0, len(points), 512)])
+
+
 def test_only_failing_words_are_merged():
     own = bpe.WordBpe(PATH)
     merged = []
