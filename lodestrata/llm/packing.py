@@ -3,14 +3,14 @@
 Each task packs its partition online. A level array counts the partially filled windows
 at each fill level; a document's remainder goes to the level that keeps the sum of the
 squared counts smallest, a new window included. Whole windows of a long document are cut
-off first. Windows still open at the end of a partition are cut anew into full windows,
-and what is left over into lengths that are powers of two, which need no padding.
+off first. At the end of a partition the fullest open windows keep what was placed in them
+and are filled up with pieces of the emptiest, cut as needed; what is left over is cut into
+lengths that are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,63 +18,28 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from .common import documents, map_batches
+from .merging import Encoder, runs_of
 
 #: Tokens of a window, and the id that ends each document.
 WINDOW, END = 2048, 1
-#: Units that a task remembers at most; then it starts anew.
-MEMO_UNITS = 150_000
-#: Windows that a task keeps open at most; beyond it closes them all as it does at its end.
+#: Words that a task remembers at most, and characters that it encodes at once, or those of one text.
+MEMO_WORDS, CHARACTERS = 500_000, 4_000_000
+#: Windows that a task keeps open at most, some 32 MB of ids; beyond it the fullest is filled up with pieces of the emptiest.
 OPEN_WINDOWS = 4096
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
-
-
-class ByteBpe:
-    """Token ids as the library gives them, a distinct unit once.
-
-    A unit starts at a single space between two other characters, or at the text's start.
-    The pre-tokeniser always starts a piece there and looks no further back, so a text's
-    ids are its units' ids in a row.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        if not text:
-            return []
-        first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
-        split = [self.units(t) for t in texts]
-        new = list({u for s in split for u in s}.difference(self.memo))
-        for unit, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.memo[unit] = np.asarray(got.ids, np.uint32).tobytes()
-        return [b"".join(map(self.memo.__getitem__, s)) for s in split]
-
 
 @functools.lru_cache(maxsize=2)
-def load(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def load(path: str) -> Encoder:
+    return Encoder(path, True, MEMO_WORDS)
 
 
 class Packer:
     """Online sum-of-squares packing of pieces into windows numbered from `first`."""
 
     def __init__(self, window: int = WINDOW, first: int = 0):
-        self.window, self.next = window, first
+        self.window, self.next, self.count = window, first, 0
         self.levels = np.zeros(window + 1, np.int64)  # open windows at each fill level
         self.open: list[list[tuple[int, list]]] = [[] for _ in range(window)]  # (number, pieces) at each level
 
@@ -103,18 +68,16 @@ class Packer:
             return
         level = self.level_for(size)
         if level:
-            number, pieces = self.open[level].pop()
-            self.levels[level] -= 1
+            number, pieces = self._take(level)
         else:
             number, pieces = self.number(), []
         pieces.append((doc, at, ids[at:], total))
         if level + size == self.window:
             yield from self.placed(number, pieces)
         else:
-            self.open[level + size].append((number, pieces))
-            self.levels[level + size] += 1
-            if self.levels.sum() > OPEN_WINDOWS:
-                yield from self.close()
+            self._put(number, pieces, level + size)
+            while self.count > OPEN_WINDOWS:
+                yield from self.fill(OPEN_WINDOWS // 2)
 
     @staticmethod
     def placed(number: int, pieces: list) -> Iterator[tuple]:
@@ -123,11 +86,56 @@ class Packer:
             yield doc, start, ids, total, number, offset
             offset += len(ids)
 
+    def fill(self, most: int) -> Iterator[tuple]:
+        """Leave at most so many windows open: the fullest are filled up with pieces of the emptiest, cut as needed.
+
+        What the level array placed in a window that gets full stays as it is.
+        """
+        low, high = 1, self.window - 1
+        donor: list = []  # pieces of a window that is given up
+        while self.count > most:
+            while high and not self.open[high]:
+                high -= 1
+            if not high:
+                break
+            number, pieces = self._take(high)
+            level = high
+            while level < self.window:
+                if not donor:
+                    while low < self.window and not self.open[low]:
+                        low += 1
+                    if low == self.window:
+                        break
+                    donor = self._take(low)[1]
+                doc, at, ids, total = donor.pop()
+                room = self.window - level
+                pieces.append((doc, at, ids[:room], total))
+                level += min(room, len(ids))
+                if len(ids) > room:
+                    donor.append((doc, at + room, ids[room:], total))
+            if level < self.window:  # no window is left to take from
+                self._put(number, pieces, level)
+                break
+            yield from self.placed(number, pieces)
+        if donor:
+            self._put(self.number(), donor, sum(len(p[2]) for p in donor))
+
+    def _take(self, level: int) -> tuple[int, list]:
+        self.levels[level] -= 1
+        self.count -= 1
+        return self.open[level].pop()
+
+    def _put(self, number: int, pieces: list, level: int) -> None:
+        self.open[level].append((number, pieces))
+        self.levels[level] += 1
+        self.count += 1
+
     def close(self) -> Iterator[tuple]:
-        """Cut the open windows' pieces into full windows and powers of two."""
+        """Fill up the open windows; what is left over is cut into powers of two."""
+        yield from self.fill(0)
         pieces = [p for level in reversed(self.open) for _, own in level for p in own]
         self.open, left = [[] for _ in range(self.window)], sum(len(p[2]) for p in pieces)
-        self.levels[:] = 0
+        self.levels[:], self.count = 0, 0
         room, number, offset = 0, 0, 0
         for doc, start, ids, total in pieces:
             at = 0
@@ -151,7 +159,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = load(vocabulary), np.array([end_id], np.uint32)
+        bpe, end = load(vocabulary), np.array([end_id], np.int32)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         kind = pa.int64()
 
@@ -162,11 +170,12 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                pieces = []
-                for doc, own in zip(part.column(0).to_pylist(), bpe.encode_batch(part.column(1).to_pylist())):
-                    pieces += packer.add(doc, np.concatenate([np.frombuffer(own, np.uint32), end]))
+            keys, texts = (c.to_pylist() for c in batch.columns)
+            for at, stop in runs_of([len(t) for t in texts], CHARACTERS):
+                ids, counts = bpe.encode(texts[at:stop])
+                pieces, ends = [], np.cumsum(counts).tolist()
+                for doc, last, n in zip(keys[at:stop], ends, counts.tolist()):
+                    pieces += packer.add(doc, np.concatenate([ids[last - n : last], end]))
                 if pieces:
                     yield rows(pieces)
         last = list(packer.close())
