@@ -32,7 +32,8 @@ def filter_block(fingerprints: np.ndarray, counts: np.ndarray, block_bits: int)
     """The filter of sorted distinct fingerprints that share their first `block_bits` bits.
 
     About as many quotients as entries; the quotients in use are a bitmap, the last entry
-    of each run is a bit, and what is left of each fingerprint is its remainder.
+    of each run is a bit, and what is left of each fingerprint is its remainder, in as many
+    bytes as it has. A count is a byte; one of 255 and more follows in 64 bits, in order.
     """
     quotient_bits = max(3, int(len(fingerprints)).bit_length())
     rest = 64 - block_bits - quotient_bits
@@ -40,23 +41,38 @@ def filter_block(fingerprints: np.ndarray, counts: np.ndarray, block_bits: int)
     occupied = np.zeros(1 << quotient_bits, bool)
     occupied[quotients] = True
     ends = np.append(quotients[1:] != quotients[:-1], True)
-    remainders = fingerprints & np.uint64((1 << rest) - 1)
-    return quotient_bits, np.packbits(occupied).tobytes(), np.packbits(ends).tobytes(), remainders.tobytes(), counts.astype(np.int64).tobytes()
+    remainders = (fingerprints & np.uint64((1 << rest) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-rest // 8)]
+    large = counts >= 255
+    packed = np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes()
+    return quotient_bits, np.packbits(occupied).tobytes(), np.packbits(ends).tobytes(), remainders.tobytes(), packed
 
 
 def filter_entries(block: int, block_bits: int, quotient_bits: int, occupied: bytes, run_ends: bytes, remainders: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The sorted fingerprints and counts of a filter: the inverse of filter_block."""
-    rest = np.frombuffer(remainders, np.uint64)
+    width = -(-(64 - block_bits - quotient_bits) // 8)
+    padded = np.zeros((len(remainders) // width, 8), np.uint8)
+    padded[:, :width] = np.frombuffer(remainders, np.uint8).reshape(-1, width)
+    rest = padded.view("<u8").ravel()
+    short = np.frombuffer(counts, np.uint8, len(rest)).astype(np.int64)
+    short[short == 255] = np.frombuffer(counts, "<i8", offset=len(rest))
     used = np.flatnonzero(np.unpackbits(np.frombuffer(occupied, np.uint8)))
     ends = np.flatnonzero(np.unpackbits(np.frombuffer(run_ends, np.uint8), count=len(rest)))
     quotients = np.repeat(used, np.diff(ends, prepend=-1)).astype(np.uint64)
     high = np.uint64(block << (64 - block_bits)) if block_bits else np.uint64(0)
-    return high | (quotients << np.uint64(64 - block_bits - quotient_bits)) | rest, np.frombuffer(counts, np.int64)
+    return high | (quotients << np.uint64(64 - block_bits - quotient_bits)) | rest, short
 
 
-def _counted(fingerprints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(fingerprints, kind="stable")
-    fingerprints, counts = fingerprints[order], counts[order]
+def merged(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of (fingerprints, counts) as one: each entry's place is its own and that in the other run."""
+    (a, m), (b, n) = left, right
+    fingerprints, counts = np.zeros(len(a) + len(b), np.uint64), np.zeros(len(a) + len(b), np.int64)
+    for own, other, side, count in ((a, b, "left", m), (b, a, "right", n)):
+        at = np.arange(len(own)) + np.searchsorted(other, own, side)
+        fingerprints[at], counts[at] = own, count
+    return _summed(fingerprints, counts)
+
+
+def _summed(fingerprints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.append(True, fingerprints[1:] != fingerprints[:-1])[: len(fingerprints)])
     return fingerprints[first], np.add.reduceat(counts, first) if len(first) else counts
 
@@ -68,7 +84,7 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b["fp"].to_numpy(np.int64).view(np.uint64) for b in batches]
         fps = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        fps, counts = _counted(fps, np.ones(len(fps), np.int64))
+        fps, counts = _summed(np.sort(fps), np.ones(len(fps), np.int64))
         blocks = (fps >> np.uint64(64 - block_bits)).astype(np.int64) if block_bits else np.zeros(len(fps), np.int64)
         cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])[: len(blocks)]).tolist() + [len(fps)]
         out = [(int(blocks[i]), *filter_block(fps[i:j], counts[i:j], block_bits)) for i, j in zip(cuts, cuts[1:])]
@@ -76,7 +92,9 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
 
     def merge(filters: pd.DataFrame) -> pd.DataFrame:
         parts = [filter_entries(r.block, block_bits, r.quotient_bits, r.occupied, r.run_ends, r.remainders, r.counts) for r in filters.itertuples()]
-        fps, counts = _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        while len(parts) > 1:  # neighbours first, so that an entry moves as often as the runs double
+            parts = [merged(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        fps, counts = parts[0]
         more = counts > 1
         return pd.DataFrame({"fp": fps[more].view(np.int64), "n": counts[more]})
 
