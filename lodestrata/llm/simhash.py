@@ -1,9 +1,14 @@
 """SimHash near-dedup with deletion-variant signatures.
 
 A fingerprint is cut into so few segments that, within the distance searched for, one of
-them differs by one bit at most. Each segment is indexed once for each of its bits, with
-that bit as a wildcard; fingerprints that share a signature meet in an equality join and
-are verified there by their whole distance.
+them differs by one place at most. Each segment is indexed once for each of its places, with
+that place as a wildcard; fingerprints that share a signature meet in an equality join and
+are verified.
+
+A place is a bit for `near_components`, which searches by distance. `near_groups` searches
+by similarity: it takes what the bits give first, and then the same scheme over longer
+places (see MARKS), as sets with a similarity of 0.8 differ in 10 of 64 bits on average,
+too many for segments of bits. There the shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -17,11 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, documents, map_batches, staged
+from .common import broadcast_if, components, documents, map_batches, staged
 
-#: Members of a bucket that are joined with each other; of larger ones see `links` and `near_links`.
+#: Members of a bucket of `links` that are joined with each other; of larger ones see there.
 BUCKET = 64
 SEED = 42
+#: Segments of marks, and marks of a segment: a pair at 0.8 agrees in four of five marks of one of four segments in 995 of 1000 cases.
+SEGMENTS, MARKS = 4, 5
+#: Up to so many ids that go are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
+#: Components of a bucket of marks beyond which it is cut by a second signature.
+CROWD = 64
+_MIX = np.random.default_rng(8).integers(1, 2**63, SEGMENTS * MARKS, dtype=np.uint64)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -85,24 +97,43 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return map_batches(texts.select("node", "text"), run, "node long, s array<long>")
 
 
+def marks_of(shingles: np.ndarray) -> np.ndarray:
+    """SEGMENTS rows of MARKS marks: the smallest of the shingles' hashes under a mix of its own each (no shingles: all equal)."""
+    low = np.full(SEGMENTS * MARKS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 4096):
+        mixed = (shingles[at : at + 4096, None] ^ _MIX) * (_MIX | np.uint64(1))
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        low = np.minimum(low, mixed.min(0))
+    return low.reshape(SEGMENTS, MARKS)
+
+
+def mark_signatures(marks: np.ndarray) -> np.ndarray:
+    """The signatures of each segment, one for each mark as a wildcard: a hash of the other marks and their places."""
+    mixed = (marks ^ (marks >> np.uint64(31))) * (_MIX.reshape(marks.shape) | np.uint64(1))
+    mixed ^= mixed >> np.uint64(29)
+    others = mixed.sum(1, dtype=np.uint64)[:, None] - mixed + _MIX[::-1].reshape(marks.shape)
+    others *= np.uint64(0x9E3779B97F4A7C15)
+    return (others ^ (others >> np.uint64(32))).ravel()
+
+
 def set_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (the text's hash), node (XXH64 of the distinct shingle hashes in order) and w0, w1, ... (the wide fingerprint of the distinct shingles) of each row."""
+    """doc_id, h (the text's hash), digest (a hash of 128 bits of the distinct shingles), w0 (their fingerprint) and sigs (their marks' signatures) of each row."""
     texts = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    names = [f"w{k}" for k in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(2)]
-            table = np.array([[xxhash.xxh64_intdigest(s.tobytes(), SEED), *fingerprint(s, WIDE).tolist()] for s in sets], np.uint64).reshape(-1, WIDE + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(WIDE + 1))], ["doc_id", "h", "node", *names])
-
-    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *(T.StructField(n, T.LongType()) for n in ["h", "node", *names])])
-    return map_batches(texts, run, schema)
-
+            nodes, prints, sigs = [], [], []
+            for text in batch.column(2):
+                own = np.unique(shingle_hashes(text.as_py(), words))
+                nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
+                prints.append(fingerprint(own).view(np.int64)[0])
+                sigs.append(mark_signatures(marks_of(own)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array(prints, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "h", "digest", "w0", "sigs"])
 
-def distance(words: list[str], left: str = "l", right: str = "r") -> Column:
-    """Differing bits of the words of two joined rows."""
-    return sum((F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in words[1:]), F.bit_count(F.col(f"{left}.{words[0]}").bitwiseXOR(F.col(f"{right}.{words[0]}"))))
+    fields = (("h", T.LongType()), ("digest", T.BinaryType()), ("w0", T.LongType()), ("sigs", T.ArrayType(T.LongType())))
+    return map_batches(texts, run, T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *(T.StructField(n, t) for n, t in fields)]))
 
 
 def signatures(prints: DataFrame, words: list[str], per_word: int, bits: int, carry: list[str]) -> DataFrame:
@@ -122,17 +153,17 @@ def signatures(prints: DataFrame, words: list[str], per_word: int, bits: int, ca
     return prints.select(*carry, F.explode(F.array(*keys)).alias("sig"))
 
 
-def _buckets(signed: DataFrame) -> DataFrame:
+def _buckets(signed: DataFrame, key: str = "sig") -> DataFrame:
     """The rows whose signature occurs more than once, with the bucket's size `n`."""
-    sizes = signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    return signed.join(sizes, "sig")
+    sizes = signed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return signed.join(sizes, key)
 
 
-def links(prints: DataFrame, most: int = 2) -> DataFrame:
+def links(prints: DataFrame, most: int = 2, bucket: int | None = None) -> DataFrame:
     """Pairs a < b of the distinct 64-bit fingerprints `w0` that differ in `most` bits, 2 or fewer.
 
     Two segments of 32 bits, as one of them differs by one bit at most. Buckets of up to
-    BUCKET members are joined with themselves, and a pair is kept under one of its
+    `bucket` members (BUCKET unless given) are joined with themselves, and a pair is kept under one of its
     signatures only. The members of larger buckets are linked without any pairs of members:
     each yields itself and its 64 neighbours at one bit; two fingerprints are at two bits or
     fewer exactly if they share one of these, so the smallest of those that share one is
@@ -140,8 +171,9 @@ def links(prints: DataFrame, most: int = 2) -> DataFrame:
     """
     if not 0 <= most <= 2:
         raise ValueError("links() searches within two bits")
+    bucket = BUCKET if bucket is None else bucket
     live = staged(_buckets(signatures(prints, ["w0"], 2, 32, ["w0"])), "signatures")
-    small = live.where(F.col("n") <= BUCKET)
+    small = live.where(F.col("n") <= bucket)
     differ = F.col("l.w0").bitwiseXOR(F.col("r.w0"))
     low, high = differ.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(differ, 32)
     number, place = F.shiftright(F.col("l.sig"), 46), F.shiftright(F.col("l.sig"), 40).bitwiseAND(F.lit(63))
@@ -152,7 +184,7 @@ def links(prints: DataFrame, most: int = 2) -> DataFrame:
     once = (at_wildcard | equal) & ((number == 0) | (F.bit_count(low) > 1))
     pairs = small.alias("l").join(small.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.w0") < F.col("r.w0")) & (F.bit_count(differ) <= most) & once)
     found = pairs.select(F.col("l.w0").alias("a"), F.col("r.w0").alias("b"))
-    crowded = live.where(F.col("n") > BUCKET).select("w0").distinct()
+    crowded = live.where(F.col("n") > bucket).select("w0").distinct()
     if most < 2:
         near = crowded.select("w0", F.explode(F.array(*(_flip(k) for k in range(64) if most))).alias("b")) if most else None
         return found if near is None else found.union(near.join(crowded.select(F.col("w0").alias("b")), "b").select(F.least("w0", "b").alias("a"), F.greatest("w0", "b").alias("b"))).distinct()
@@ -173,7 +205,8 @@ def near_components(docs: DataFrame, words: int = 3, most: int = 2, id_col: str
     Texts without words, null ones included, have the fingerprint zero and are linked like
     any other. Equal fingerprints are one node, so copies make no links. Null ids take
     part; a component without any other id has a null component_id. Repeated rows each
-    stay in the result; an empty table gives an empty one.
+    stay in the result, other columns are not read, so that none clashes; an empty table
+    gives an empty one.
     """
     prints = staged(fingerprints(docs, words, 1, id_col, text_col), "fingerprints")
     nodes = staged(prints.groupBy("w0").agg(F.min("doc_id").alias("least")), "nodes")
@@ -184,14 +217,6 @@ def near_components(docs: DataFrame, words: int = 3, most: int = 2, id_col: str
     return prints.join(of_node, "w0").select("doc_id", "w0", "component_id")
 
 
-#: Words of the wide fingerprint, each with SEGMENTS segments of SEGMENT bits.
-WIDE, SEGMENTS, SEGMENT = 8, 3, 20
-#: Bits of 64 * WIDE that may differ in a candidate: sets with a similarity of 0.8 differ in 78 on average, with a deviation of 8.
-WIDE_MOST = 110
-#: Bits of the first word that may differ, ahead of the whole distance; 0.8 differs in 10 on average, with a deviation of 3.
-FIRST_MOST = 22
-
-
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("right")), "b")
@@ -199,48 +224,74 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(F.col("common") * 5 >= (F.col("sum") - F.col("common")) * 4).select("a", "b")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
 def near_links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Pairs (a, b) of `node` whose shingle sets have a similarity of 0.8 or more.
-
-    `nodes` holds distinct shingle sets by `node` with their wide fingerprints, and doc_id
-    and h of one of their texts in `rep`; `texts` holds doc_id, h and text. Candidates share
-    a signature and differ in WIDE_MOST bits or fewer; the sets decide. Members of a bucket
-    of up to BUCKET members are compared with each other, those of larger ones with the
-    smallest; what remains of a larger bucket comes again in the next round without that
-    one, unless it is one component by then. The rounds
-    end when nothing remains, so that every pair in a bucket was compared or is connected.
+    """Pairs (a, b) of `node` with a similarity of 0.8 or more, which connect all such pairs that the indexes find.
+
+    `nodes` holds distinct shingle sets by `node` with w0 and sigs, and doc_id and h of one
+    of their texts in `rep`; `texts` holds doc_id, h and text. Candidates are those of
+    `links`, then members of a bucket of marks' signatures against the bucket's head. A
+    bucket is compared anew without the head until its members are one component, so that
+    every pair of it was compared or is connected; each round takes 16 times as many heads. Members are
+    never paired with each other. A bucket with over CROWD components after its first round
+    is cut by a second signature of another segment before it goes on.
     """
-    names = [f"w{k}" for k in range(WIDE)]
-    live = staged(_buckets(signatures(nodes, names, SEGMENTS, SEGMENT, ["node"])), "signatures")
-    verified: DataFrame | None = None
-    prints = nodes.select("node", *names)
-    l, r = prints.alias("l"), prints.alias("r")
+    heads = nodes.groupBy("w0").agg(F.min("node").alias("head"), F.count("*").alias("n"))
+    heads = staged(heads, "heads")
+    same = nodes.join(heads.where("n > 1"), "w0").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    of = lambda c: heads.select(F.col("w0").alias(c), F.col("head").alias(f"{c}_head"))
+    bits = links(heads.select("w0"), 2, 1).join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    first = staged(_ordered(same.union(bits)), "candidates")
+    signed = nodes.select("node", F.posexplode("sigs").alias("place", "key")).select("key", (F.col("place") / MARKS).cast("int").alias("segment"), "node")
+    live = staged(_buckets(signed, "key").select("key", "segment", "node"), "signatures")
+    ends = first.select(F.col("a").alias("node")).union(first.select("b")).union(live.select("node")).distinct()
+    reps = nodes.join(ends, "node").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
+    own = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
+    sets = staged(shingle_sets(own.dropDuplicates(["node"]), words), "sets")
+    found = staged(similar(first, sets), "links")
+    every, roots, heads_each, cut = found, None, 1, False
+    live = live.withColumn("root", F.col("node"))
     while True:
-        large = live.where(F.col("n") > BUCKET)
-        small = live.where(F.col("n") <= BUCKET)
-        heads = large.groupBy("sig").agg(F.min("node").alias("head"))
-        pairs = small.select("sig", F.col("node").alias("a")).join(small.select("sig", F.col("node").alias("b")), "sig").where(F.col("a") < F.col("b")).select("a", "b")
-        star = large.join(heads, "sig").select(F.col("head").alias("a"), F.col("node").alias("b")).where("a <> b")
-        first = F.bit_count(F.col("l.w0").bitwiseXOR(F.col("r.w0"))) <= FIRST_MOST
-        pairs = pairs.union(star).distinct()
-        close = staged(pairs.join(l, F.col("a") == F.col("l.node")).join(r, F.col("b") == F.col("r.node")).where(first).where(distance(names) <= WIDE_MOST).select("a", "b"), "candidates")
-        ends = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-        reps = nodes.join(ends, "node").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
-        own = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
-        sets = staged(shingle_sets(own.dropDuplicates(["node"]), words), "sets")
-        new = similar(close, sets)
-        verified = staged(new if verified is None else verified.union(new).distinct(), "links")
-        rest = large.join(heads, "sig").where("node <> head").select("sig", "node")
-        roots = components(verified).withColumnRenamed("node", "member")
-        rest = rest.join(roots, rest["node"] == roots["member"], "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        several = rest.groupBy("sig").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig", "n")
-        live = staged(rest.select("sig", "node").join(several, "sig"), "rest")
+        if found.limit(1).count():
+            # links join components, so that only what they join has to be followed
+            ends = found if roots is None else found.join(_named(roots, "a"), "a", "left").join(_named(roots, "b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+            moved = components(ends).select(F.col("node").alias("old"), F.col("root").alias("new"))
+            if roots is None:
+                roots = moved.select(F.col("old").alias("node"), F.col("new").alias("root"))
+            else:
+                further = roots.join(moved, roots["root"] == moved["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+                more = moved.join(roots, moved["old"] == roots["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+                roots = staged(further.union(more), "roots")
+            live = live.join(moved, live["root"] == moved["old"], "left").select("key", "segment", "node", F.coalesce("new", "root").alias("root"))
+        several = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.approx_count_distinct("root").alias("groups")).where("low <> high")
+        live = staged(live.join(several.select("key", "groups"), "key"), "rest")
+        if heads_each > 1 and not cut:
+            cut = True
+            large = live.where(F.col("groups") > CROWD)
+            again = large.join(nodes.select("node", F.posexplode("sigs").alias("place", "sig")), "node").where((F.col("place") / MARKS).cast("int") != F.col("segment"))
+            again = _buckets(again.select(F.xxhash64("key", "sig").alias("key"), "segment", "node", "root", "groups"), "key").select("key", "segment", "node", "root", "groups")
+            live = staged(live.where(F.col("groups") <= CROWD).union(again), "refined")
         if live.limit(1).count() == 0:
-            return verified
+            return every
+        part = F.pmod(F.xxhash64("node"), F.lit(heads_each))
+        chosen = staged(live.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("head")).select("key", F.col("head.node").alias("head"), F.col("head.root").alias("head_root")), "heads")
+        star = live.join(chosen, "key").where("root <> head_root").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        found = staged(similar(_ordered(star), sets), "links")
+        every = every.union(found)
+        taken = chosen.select(F.col("key").alias("_key"), "head")
+        live = live.join(taken, (F.col("key") == F.col("_key")) & (F.col("node") == F.col("head")), "left_anti").select("key", "segment", "node", "root")
+        heads_each *= 16
+
+
+def _named(roots: DataFrame, end: str) -> DataFrame:
+    return roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
 
 
 def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (the text's hash), node (its shingle set), group (the smallest node) and stays of each row, by the
+    """doc_id, h (the text's hash), node (a number of its shingle set), group (the smallest node) and stays of each row, by the
     similarity of five-word shingles (0.8 or more). Each link is verified; the fingerprint only finds candidates.
 
     `stays` holds for the smallest id of a group (null comes last, then the smaller h), and
@@ -250,11 +301,12 @@ def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     """
     prints = staged(set_prints(docs, words, id_col, text_col), "fingerprints")
     none = F.isnull("doc_id").alias("none")
-    # a node's rows share their fingerprint, as it follows from the set
-    nodes = staged(prints.groupBy("node", *(f"w{k}" for k in range(WIDE))).agg(F.min(F.struct(none, "doc_id", "h")).alias("rep")), "nodes")
+    # a node's rows share their fingerprint and signatures, as these follow from the set
+    nodes = prints.groupBy("digest").agg(F.min(F.struct(none, "doc_id", "h")).alias("rep"), F.min("w0").alias("w0"), F.min("sigs").alias("sigs"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so that the numbers stay
     texts = documents(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     of_node = components(near_links(nodes, texts, words)).select("node", F.col("root").alias("group"))
-    grouped = prints.select("doc_id", "h", "node").join(of_node, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    grouped = prints.select("doc_id", "h", "digest").join(nodes.select("digest", "node"), "digest").join(of_node, "node", "left").withColumn("group", F.coalesce("group", "node"))
     first = grouped.groupBy("group").agg(F.min(F.struct(none, "doc_id", "h")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     return grouped.join(first, "group").select("doc_id", "h", "node", "group", stays.alias("stays"))
@@ -262,7 +314,16 @@ def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
 
 def one_of_each_group(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of docs that near_groups lets stay, rows that repeat id and text once."""
-    goes = near_groups(docs, words, id_col, text_col).where(~F.col("stays")).select(F.col("doc_id").alias("_goes_id"), F.col("h").alias("_goes_h")).distinct()
+    groups = staged(near_groups(docs, words, id_col, text_col), "groups")
+    names = F.col("doc_id").alias("_goes_id"), F.col("h").alias("_goes_h")
+    goes = groups.where(~F.col("stays")).select(*names).distinct()
+    repeated = groups.where("stays").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(*names)
+    goes, repeated = staged(goes, "goes"), staged(repeated, "repeated")
+    goes, repeats = broadcast_if(goes, goes.count(), BROADCAST_ROWS), repeated.count()
+    repeated = broadcast_if(repeated, repeats, BROADCAST_ROWS)
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_h"))
-    left = packed.join(goes, F.col("_id").eqNullSafe(F.col("_goes_id")) & (F.col("_h") == F.col("_goes_h")), "left_anti")
-    return left.dropDuplicates(["_id", "_h"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    match = F.col("_id").eqNullSafe(F.col("_goes_id")) & (F.col("_h") == F.col("_goes_h"))
+    left = packed.join(goes, match, "left_anti")
+    if repeats:
+        left = left.join(repeated, match, "left_anti").union(left.join(repeated, match, "left_semi").dropDuplicates(["_id", "_h"]))
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
