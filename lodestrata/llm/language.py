@@ -13,28 +13,32 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, held_out, map_batches
+from .common import broadcast_if, documents, held_out, map_batches, staged
 
 #: Labelled documents of each language that the model is fitted on at most, by the hash of their ids.
 SAMPLE_PER_LANGUAGE = 400
 #: Words and n-grams of the model at most, the most frequent ones.
 MODEL_WORDS, MODEL_GRAMS = 60_000, 40_000
 LONGEST = 4
+#: Up to so many ids of the sample are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 16
 MEMO_WORDS = 150_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: (language, word) pairs that the driver takes, the most frequent ones.
+MODEL_PAIRS = 400_000
+
+_WORD, _ASCII_WORD = regex.compile(r"\p{L}+"), re.compile("[a-z]+")
 
 
 @dataclass
 class Model:
     languages: list[str]
-    prior: np.ndarray
     words: dict[str, np.ndarray]
     grams: dict[str, np.ndarray]
     unknown: np.ndarray
@@ -56,7 +60,8 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The runs of letters, in lower case."""
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text.lower())
 
 
 def training_sample(docs: DataFrame, lang_col: str, id_col: str, text_col: str, per_language: int) -> DataFrame:
@@ -67,8 +72,22 @@ def training_sample(docs: DataFrame, lang_col: str, id_col: str, text_col: str,
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ranked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
-    return rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    chosen = staged(ranked.where(F.col("n") <= per_language).select("doc_id", "lang").distinct(), "chosen")
+    return rows.join(broadcast_if(chosen, chosen.count(), BROADCAST_ROWS), ["doc_id", "lang"], "left_semi").select("lang", "text")
+
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """lang, word and n of the words of (lang, text) rows; each batch is counted where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                by.setdefault(lang, Counter()).update(words_of(text.as_py()))
+            rows = [(lang, w, n) for lang, own in by.items() for w, n in own.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+
+    return map_batches(sample, run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -76,9 +95,14 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     by: dict[str, Counter] = {}
     for lang, text in rows:
         by.setdefault(lang, Counter()).update(words_of(text))
+    return fit_counts(by)
+
+
+def fit_counts(by: dict[str, Counter]) -> Model:
+    """A model of the word counts of each language."""
     languages = sorted(by)
     if not languages:
-        return Model([], np.zeros(0), {}, {}, np.zeros(0))
+        return Model([], {}, {}, np.zeros(0))
 
     def table(counts: list[Counter], most: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
         total = sum(counts, Counter())
@@ -98,7 +122,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
                     own[marked[at : at + size]] += min(n, 5)
         grams.append(own)
     tables, unknown = table(grams, MODEL_GRAMS)
-    return Model(languages, np.zeros(len(languages)), words, tables, unknown)
+    return Model(languages, words, tables, unknown)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,6 +166,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def trained(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on the bounded sample; texts are taken as they come, whole."""
-    sample: pd.DataFrame = training_sample(docs, lang_col, id_col, text_col, per_language).toPandas()
-    return fit(list(sample.itertuples(index=False, name=None)))
+    """Fit on the bounded sample; texts are taken whole, and only their word counts, MODEL_PAIRS at most, go to the driver."""
+    counts = staged(word_counts(training_sample(docs, lang_col, id_col, text_col, per_language)), "word_counts")
+    by: dict[str, Counter] = {}
+    for r in counts.orderBy(F.desc("n"), "word", "lang").limit(MODEL_PAIRS).collect():
+        by.setdefault(r.lang, Counter())[r.word] = r.n
+    return fit_counts(by)

@@ -23,7 +23,7 @@ SAMPLE_DOCUMENTS = 3000
 #: Bytes of a passage: texts are cut into whole passages of this length, the last is shorter.
 PASSAGE = 400
 #: Hidden units of the attention, steps and step size of the fit.
-HIDDEN, STEPS, RATE = 16, 400, 0.05
+HIDDEN, STEPS, RATE = 8, 150, 0.1
 
 # Byte classes of the encoding.
 _CLASSES = ("upper", "lower", "digit", "space", "newline", "stop", "mark", "symbol", "high")
@@ -37,16 +37,19 @@ for _b in range(256):
         _CLASS[_b] = 8
     elif _b not in _SEEN:
         _CLASS[_b] = 7
-#: Letters in UTF-8 that are upper case start with the same byte as lower ones, so the share of upper case is ASCII's.
-LAGS = 24
-FEATURES = 2 * len(_CLASSES) + 6
+#: Buckets of hashed byte triples, which tell what a passage says.
+BUCKETS = 32
+#: Their deviations weigh less, as single buckets tell little.
+BUCKET_WEIGHT = 0.25
+FEATURES = 2 * len(_CLASSES) + BUCKETS + 6
 
 
 def encode_passages(text: str) -> np.ndarray:
     """One row of features for each passage of a text (an empty text: one row of zeros, but for the constant).
 
-    Shares of byte classes and of class changes, word lengths, distinct words, repeated
-    neighbours and the strongest period: what a passage looks like, not what it says.
+    Shares of byte classes and of class changes, word lengths, distinct words and repeated
+    neighbours tell what a passage looks like; shares of hashed byte triples (ASCII letters
+    in lower case) tell what it says.
     """
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     n = max(1, -(-len(raw) // PASSAGE))
@@ -63,6 +66,12 @@ def encode_passages(text: str) -> np.ndarray:
     out[:, k : 2 * k] = np.bincount(owner[change] * k + kinds[change], minlength=n * k).reshape(n, k) / size[:, None]
     same = (raw[1:] == raw[:-1]) & (kinds[1:] >= 6) & (owner[1:] == owner[:-1])
     out[:, 2 * k] = np.bincount(owner[1:][same], minlength=n) / size
+    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint32)
+    triple = low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)
+    triple = ((triple ^ (triple >> np.uint32(15))) * np.uint32(0x27D4EB2F)) >> np.uint32(27)
+    inside = owner[2:] == owner[:-2]
+    at = 2 * k + 5
+    out[:, at : at + BUCKETS] = np.bincount(owner[2:][inside] * BUCKETS + triple[inside], minlength=n * BUCKETS).reshape(n, BUCKETS) / size[:, None]
     words = [raw[i * PASSAGE : (i + 1) * PASSAGE].tobytes().lower().split() for i in range(n)]
     for i, own in enumerate(words):
         if own:
@@ -86,14 +95,13 @@ class Model:
 
 
 def _attention(model: Model, x: np.ndarray, bags: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Gates, weights, pooled passages and scores of `n` bags, whose passages (one at least) stand in a row."""
+    first = np.searchsorted(bags, np.arange(n))
     a, b = np.tanh(x @ model.v), 1 / (1 + np.exp(-np.clip(x @ model.u, -30, 30)))
     logits = (a * b) @ model.w
-    top = np.full(n, -np.inf)
-    np.maximum.at(top, bags, logits)
-    e = np.exp(logits - top[bags])
+    e = np.exp(logits - np.maximum.reduceat(logits, first)[bags])
     weight = e / np.bincount(bags, e, minlength=n)[bags]
-    pooled = np.zeros((n, x.shape[1]))
-    np.add.at(pooled, bags, weight[:, None] * x)
+    pooled = np.add.reduceat(weight[:, None] * x, first)
     score = 1 / (1 + np.exp(-np.clip(pooled @ model.c + model.bias, -30, 30)))
     return a, b, weight, pooled, score
 
@@ -105,13 +113,14 @@ def fit(bags_of: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         share = float(labels.mean()) if len(labels) else 0.5
         zero = np.zeros((d, HIDDEN))
         return Model(np.zeros(d), np.ones(d), zero, zero, np.zeros(HIDDEN), np.zeros(d), 4.0 * (share - 0.5))
-    x = np.concatenate(bags_of).astype(float)
+    x = np.concatenate(bags_of)
     bags = np.repeat(np.arange(len(bags_of)), [len(b) for b in bags_of])
     n, rng = len(bags_of), np.random.default_rng(seed)
     mean, scale = x.mean(0), x.std(0) + 1e-3
     mean[-1], scale[-1] = 0, 1
+    scale[-1 - BUCKETS : -1] /= BUCKET_WEIGHT
     x = np.clip((x - mean) / scale, -8, 8)
-    model = Model(mean, scale, rng.normal(0, 0.1, (d, HIDDEN)), rng.normal(0, 0.1, (d, HIDDEN)), rng.normal(0, 0.1, HIDDEN), np.zeros(d), 0.0)
+    model = Model(mean, scale, *(rng.normal(0, 0.1, shape).astype(np.float32) for shape in ((d, HIDDEN), (d, HIDDEN), HIDDEN)), np.zeros(d, np.float32), 0.0)
     share = labels.mean()
     weights = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) / n
     names = ("v", "u", "w", "c", "bias")
@@ -186,8 +195,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 bags = np.repeat(np.arange(len(bags_of)), [len(b) for b in bags_of])
                 x = np.clip((np.concatenate(bags_of) - own.mean) / own.scale, -8, 8)
                 _, _, weight, _, score = _attention(own, x, bags, len(bags_of))
-                top = np.zeros(len(bags_of))
-                np.maximum.at(top, bags, weight)
+                top = np.maximum.reduceat(weight, np.searchsorted(bags, np.arange(len(bags_of))))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(score), pa.array(top)], [*(f.name for f in kept), "score", "top_weight"])
 
     return map_batches(source, run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("top_weight", T.DoubleType())]))

@@ -15,11 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _ = secrets.scan_versions(_table(spark, sf_dir, "documents"))
+    paths = secrets.scan_with_ledger(_table(spark, sf_dir, "documents"), rules=secrets.RULES + secrets.FORMATS)
     spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin([r.kind for r in secrets.RULES]))
     counts = [secrets.count_kind(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    text = secrets.spans_text(spans)
-    return paths.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
+    return paths.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(spans).alias("spans"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = suffix.without_repeats(_table(spark, sf_dir, "documents"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut may fall inside a character
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
