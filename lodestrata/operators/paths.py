@@ -12,8 +12,7 @@ from ..plans.surrogate import Frames
 
 def touched(f: Frames) -> DataFrame:
     """Changed paths of scoped commits with their surface."""
-    hits = rules.surface_hits(F.col("path"))
-    return f.scoped.select("repo", "sha", "actor", "subject").join(f.changes, "sha").select("*", F.coalesce(F.get(hits, 0), F.lit("other")).alias("surface"), F.size(hits).alias("hits"))
+    return f.scoped.select("repo", "sha", "actor", "subject").join(f.classified("surface", "hits"), "sha")
 
 
 def surface_profile(f: Frames) -> DataFrame:
@@ -45,13 +44,12 @@ def surface_pairs(f: Frames) -> DataFrame:
 
 def verification(f: Frames) -> DataFrame:
     """Commits that touch tests, by type of test and with the surfaces and corrections they come with."""
-    path = F.col("path")
-    rows = f.changes.select("sha", rules.path_role(path).alias("role"), rules.test_type(path).alias("type"), rules.surface(path).alias("surface"))
+    rows = f.classified("role", "test_type", "surface")
     test = F.col("role") == "test"
     flags = rows.groupBy("sha").agg(
         F.bool_or(test).alias("tests"),
         F.bool_or(F.col("role") == "prod").alias("prod"),
-        *(F.bool_or(test & (F.col("type") == t)).alias(t) for t in rules.VERIFICATION_TYPES),
+        *(F.bool_or(test & (F.col("test_type") == t)).alias(t) for t in rules.VERIFICATION_TYPES),
         *(F.bool_or(F.col("surface") == s).alias(f"on_{s}") for s in ("frontend", "backend", "data", "platform")),
     )
     fix = rules.is_corrective(F.col("subject")) | F.lower("subject").startswith("revert")

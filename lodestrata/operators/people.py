@@ -73,7 +73,7 @@ def role_profile(f: Frames) -> DataFrame:
     path, status = F.col("path"), F.col("status")
     mine = f.scoped.select("repo", "actor", "sha", "author_sec", "subject", F.year("local_day").cast("string").alias("year"))
     span = mine.groupBy("repo", "actor").agg(F.count("*").alias("denominator"), F.min("author_sec").alias("first"), F.max("author_sec").alias("last"))
-    flags = f.changes.select("sha", "status", rules.domain(path).alias("domain"), rules.is_any_test(path).alias("t"), rules.is_dependency(path).alias("d")).groupBy("sha").agg(
+    flags = f.classified("domain", "any_test", "dependency").select("sha", "status", "domain", F.col("any_test").alias("t"), F.col("dependency").alias("d")).groupBy("sha").agg(
         F.collect_set("domain").alias("domains"), F.bool_or(status.isin("A", "C")).alias("create"), F.bool_or(status.isin("M", "D")).alias("modify"), F.bool_or("t").alias("test"), F.bool_or("d").alias("dependency")
     )
     elapsed, whole = F.col("author_sec") - F.col("first"), F.col("last") - F.col("first")

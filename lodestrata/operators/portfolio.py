@@ -36,7 +36,7 @@ def prevalence(f: Frames) -> DataFrame:
 
 def library_lookup(f: Frames) -> DataFrame:
     """Each library's one ecosystem, or that it is ambiguous."""
-    rows = f.table("part").where("p_size > 45").select(F.col("p_brand").alias("library"), F.col("p_type").alias("ecosystem")).distinct()
+    rows = f.table("part").select(F.col("p_brand").alias("library"), F.col("p_type").alias("ecosystem")).distinct()
     out = rows.groupBy("library").agg(F.count("*").alias("n"), F.min("ecosystem").alias("e"))
     return out.select("library", F.when(F.col("n") == 1, F.col("e")).alias("ecosystem"), F.when(F.col("n") > 1, "ambiguous_ecosystem").alias("reason"))
 
@@ -49,9 +49,8 @@ def periods(f: Frames) -> DataFrame:
 
 
 def coverage_matrix(f: Frames) -> DataFrame:
-    """Whether each measure was observed in each repository, for the first five of them."""
-    rows = compare.repo_metrics(f).where("repo < 5").select("metric", F.concat(F.lit("r"), F.col("repo").cast("string")).alias("r"), F.col("value").isNotNull().cast("long").alias("x"))
-    return rows.groupBy("metric").pivot("r", [f"r{k}" for k in range(5)]).agg(F.max("x"))
+    """Whether each measure was observed in each repository, in the long form: metric, repo, observed."""
+    return compare.repo_metrics(f).groupBy("metric", "repo").agg(F.max(F.col("value").isNotNull().cast("long")).alias("observed"))
 
 
 def admission(f: Frames) -> DataFrame:

@@ -429,7 +429,7 @@ SELECT subject, count(*) AS reports, count(*) FILTER (n > 1) AS duplicated, CAST
     "agg41_commit_rows": f"""WITH {HISTORY}, {FLAGS} SELECT repo, sha, CAST(local_day AS VARCHAR) AS day, coalesce(prod_n, 0) AS prod_n, coalesce(test_n, 0) AS test_n, coalesce(docs_n, 0) AS docs_n, coalesce(prod_n, 0) > 0 AND coalesce(test_n, 0) > 0 AS cochange, CASE WHEN {revert('subject')} THEN 'revert' WHEN {corrective('subject')} THEN 'fix' ELSE 'other' END AS subject_class FROM scoped LEFT JOIN flags USING (sha)""",
     "agg42_actor_cards": f"WITH {COMMITS}, {rhythm('repo, actor')} SELECT * FROM rhythm",
     "agg43_admission": f"""WITH {HISTORY}, {FLAGS}, {COCHANGE} SELECT CAST(n_regionkey AS BIGINT) AS "group", count(*) AS repositories, count(population) AS ok, count(*) FILTER (narrate_rate) AS narratable FROM nation LEFT JOIN cochange_rates ON n_nationkey = repo GROUP BY 1""",
-    "agg47_coverage_matrix": f"""WITH {REPO_METRICS} SELECT metric, {', '.join(f'max(CAST(value IS NOT NULL AS BIGINT)) FILTER (repo = {k}) AS r{k}' for k in range(5))} FROM repo_metrics WHERE repo < 5 GROUP BY 1""",
+    "agg47_coverage_matrix": f"""WITH {REPO_METRICS} SELECT metric, repo, max(CAST(value IS NOT NULL AS BIGINT)) AS observed FROM repo_metrics GROUP BY 1, 2""",
     "agg50_record_window": f"WITH {LIFECYCLE} SELECT project, min(coalesce(created, released, closed)) AS first_sec, max(coalesce(created, released, closed)) AS last_sec FROM lifecycle GROUP BY 1",
     "jn07_accounts": f"""WITH {COMMITS}, e AS (SELECT repo, sha, customer AS actor, s_suppkey AS account FROM human JOIN supplier ON s_nationkey = repo AND customer % 5 = s_suppkey % 5), n AS (SELECT sha, count(*) AS n FROM e GROUP BY 1),
 o AS (SELECT repo, count(*) FILTER (n IS NULL) AS unmatched, count(*) FILTER (n = 1) AS matched, count(*) FILTER (n > 1) AS ambiguous FROM human LEFT JOIN n USING (sha) GROUP BY 1), c AS (SELECT repo, count(*) AS conflicts FROM (SELECT repo, account FROM e GROUP BY 1, 2 HAVING count(DISTINCT actor) > 1) GROUP BY 1)
@@ -445,7 +445,7 @@ SELECT project, count(*) AS links, count(*) FILTER (other IS NULL) AS broken, co
     "jn15_manifest_changes": f"""WITH {HISTORY}, n AS (SELECT sha, list_distinct(list(regexp_extract(path, '([^/.]+)\\.[^/]*$', 1))) AS names FROM changes GROUP BY 1), r AS (SELECT repo, sha, lag(sha) OVER (PARTITION BY customer ORDER BY local_day, sha) AS parent FROM commits),
 b AS (SELECT repo, a.names AS names, p.names AS old FROM r JOIN n a USING (sha) JOIN n p ON p.sha = r.parent)
 SELECT repo, CAST(sum(len(list_filter(names, lambda x: NOT list_contains(old, x)))) AS BIGINT) AS gained, CAST(sum(len(list_filter(old, lambda x: NOT list_contains(names, x)))) AS BIGINT) AS lost, count(*) AS commits FROM b GROUP BY 1""".replace("\\\\", "\\"),
-    "jn17_library_lookup": """SELECT p_brand AS library, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS ecosystem, CASE WHEN count(DISTINCT p_type) > 1 THEN 'ambiguous_ecosystem' END AS reason FROM part WHERE p_size > 45 GROUP BY 1""",
+    "jn17_library_lookup": """SELECT p_brand AS library, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS ecosystem, CASE WHEN count(DISTINCT p_type) > 1 THEN 'ambiguous_ecosystem' END AS reason FROM part GROUP BY 1""",
     "jn23_lineage": f"""WITH {HISTORY}, b AS (SELECT repo, path, actor, status, local_day, ord, CAST(sum(CAST(status = 'A' AS INT)) OVER (PARTITION BY repo, path ORDER BY local_day, ord) AS BIGINT) AS inc FROM scoped JOIN changes USING (sha)),
 c AS (SELECT repo, path, inc, actor AS creator FROM b WHERE status = 'A'), e AS (SELECT repo, path, inc, min((local_day, ord)) AS ended FROM b WHERE status = 'D' GROUP BY 1, 2, 3),
 l AS (SELECT b.*, creator FROM b JOIN c USING (repo, path, inc) LEFT JOIN e USING (repo, path, inc) WHERE status <> 'A' AND (ended IS NULL OR (local_day, ord) <= ended)),

@@ -76,11 +76,31 @@ class Frames:
         status = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "N", "M").otherwise("D")
         return lines.groupBy(F.col("l_orderkey").alias("sha"), "path").agg(F.min(status).alias("status"), F.sum("l_quantity").cast("long").alias("added"), F.sum("l_linenumber").cast("long").alias("deleted"))
 
+    @cached_property
+    def kinds(self) -> DataFrame:
+        """path, and what the rules tell of it: each distinct path is classified once, not each change of it."""
+        path = F.col("path")
+        hits = rules.surface_hits(path)
+        return self.paths.select("path").distinct().select(
+            "path",
+            rules.path_role(path).alias("role"),
+            rules.is_vendor(path).alias("vendor"),
+            rules.test_type(path).alias("test_type"),
+            F.coalesce(F.get(hits, 0), F.lit("other")).alias("surface"),
+            F.size(hits).alias("hits"),
+            rules.domain(path).alias("domain"),
+            rules.is_any_test(path).alias("any_test"),
+            rules.is_dependency(path).alias("dependency"),
+        )
+
+    def classified(self, *kinds: str) -> DataFrame:
+        """The changes with these columns of `kinds`."""
+        return self.changes.join(self.kinds.select("path", *kinds), "path")
+
     @cached_property
     def flags(self) -> DataFrame:
         """What the paths of a commit hold: sha, n_paths, prod_n, test_n, docs_n, vendor_only."""
-        role = rules.path_role(F.col("path"))
-        return self.changes.select("sha", role.alias("role"), rules.is_vendor(F.col("path")).alias("vendor")).groupBy("sha").agg(
+        return self.classified("role", "vendor").groupBy("sha").agg(
             F.count("*").alias("n_paths"),
             F.count_if(F.col("role") == "prod").alias("prod_n"),
             F.count_if(F.col("role") == "test").alias("test_n"),
