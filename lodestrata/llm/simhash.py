@@ -31,8 +31,6 @@ SEED = 42
 SEGMENTS, MARKS = 4, 5
 #: Up to so many ids that go are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
-#: Components of a bucket of marks beyond which it is cut by a second signature.
-CROWD = 64
 _MIX = np.random.default_rng(8).integers(1, 2**63, SEGMENTS * MARKS, dtype=np.uint64)
 
 
@@ -236,8 +234,9 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     `links`, then members of a bucket of marks' signatures against the bucket's head. A
     bucket is compared anew without the head until its members are one component, so that
     every pair of it was compared or is connected; each round takes 16 times as many heads. Members are
-    never paired with each other. A bucket with over CROWD components after its first round
-    is cut by a second signature of another segment before it goes on.
+    never paired with each other, and after the first round a pair meets in one bucket only.
+    A group of n sets whose similarities lie on both sides of 0.8 still takes as many
+    comparisons as it has pairs that no chain of links connects.
     """
     heads = nodes.groupBy("w0").agg(F.min("node").alias("head"), F.count("*").alias("n"))
     heads = staged(heads, "heads")
@@ -245,15 +244,15 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     of = lambda c: heads.select(F.col("w0").alias(c), F.col("head").alias(f"{c}_head"))
     bits = links(heads.select("w0"), 2, 1).join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     first = staged(_ordered(same.union(bits)), "candidates")
-    signed = nodes.select("node", F.posexplode("sigs").alias("place", "key")).select("key", (F.col("place") / MARKS).cast("int").alias("segment"), "node")
-    live = staged(_buckets(signed, "key").select("key", "segment", "node"), "signatures")
+    live = staged(_buckets(nodes.select(F.explode("sigs").alias("key"), "node"), "key").select("key", "node"), "signatures")
     ends = first.select(F.col("a").alias("node")).union(first.select("b")).union(live.select("node")).distinct()
     reps = nodes.join(ends, "node").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
     own = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
     sets = staged(shingle_sets(own.dropDuplicates(["node"]), words), "sets")
     found = staged(similar(first, sets), "links")
-    every, roots, heads_each, cut = found, None, 1, False
+    every, roots, heads_each = found, None, 1
     live = live.withColumn("root", F.col("node"))
+    marked = nodes.select("node", "sigs")
     while True:
         if found.limit(1).count():
             # links join components, so that only what they join has to be followed
@@ -265,24 +264,24 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 further = roots.join(moved, roots["root"] == moved["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
                 more = moved.join(roots, moved["old"] == roots["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
                 roots = staged(further.union(more), "roots")
-            live = live.join(moved, live["root"] == moved["old"], "left").select("key", "segment", "node", F.coalesce("new", "root").alias("root"))
-        several = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.approx_count_distinct("root").alias("groups")).where("low <> high")
-        live = staged(live.join(several.select("key", "groups"), "key"), "rest")
-        if heads_each > 1 and not cut:
-            cut = True
-            large = live.where(F.col("groups") > CROWD)
-            again = large.join(nodes.select("node", F.posexplode("sigs").alias("place", "sig")), "node").where((F.col("place") / MARKS).cast("int") != F.col("segment"))
-            again = _buckets(again.select(F.xxhash64("key", "sig").alias("key"), "segment", "node", "root", "groups"), "key").select("key", "segment", "node", "root", "groups")
-            live = staged(live.where(F.col("groups") <= CROWD).union(again), "refined")
+            live = live.join(moved, live["root"] == moved["old"], "left").select("key", "node", F.coalesce("new", "root").alias("root"))
+        several = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        live = staged(live.join(several, "key"), "rest")
         if live.limit(1).count() == 0:
             return every
         part = F.pmod(F.xxhash64("node"), F.lit(heads_each))
         chosen = staged(live.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("head")).select("key", F.col("head.node").alias("head"), F.col("head.root").alias("head_root")), "heads")
-        star = live.join(chosen, "key").where("root <> head_root").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        members, by_key = live, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("head_root"))
+        heads = chosen.withColumnRenamed("key", "_key")
+        if heads_each > 1:  # a pair is compared in the first bucket that it shares
+            members = members.join(marked, "node")
+            heads = heads.join(marked.select(F.col("node").alias("head"), F.col("sigs").alias("head_sigs")), "head")
+            by_key &= F.array_min(F.array_intersect("sigs", "head_sigs")) == F.col("key")
+        star = members.join(heads, by_key).select(F.col("head").alias("a"), F.col("node").alias("b"))
         found = staged(similar(_ordered(star), sets), "links")
         every = every.union(found)
         taken = chosen.select(F.col("key").alias("_key"), "head")
-        live = live.join(taken, (F.col("key") == F.col("_key")) & (F.col("node") == F.col("head")), "left_anti").select("key", "segment", "node", "root")
+        live = live.join(taken, (F.col("key") == F.col("_key")) & (F.col("node") == F.col("head")), "left_anti").select("key", "node", "root")
         heads_each *= 16
 
 
