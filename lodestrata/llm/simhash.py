@@ -29,7 +29,7 @@ BUCKET = 64
 SEED = 42
 #: Segments of marks, and marks of a segment: a pair at 0.8 agrees in four of five marks of one of four segments in 995 of 1000 cases.
 SEGMENTS, MARKS = 4, 5
-#: Up to so many ids that go are broadcast (16 bytes each); more are joined by a shuffle.
+#: Up to so many ids that go, or signatures that occur twice, are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 _MIX = np.random.default_rng(8).integers(1, 2**63, SEGMENTS * MARKS, dtype=np.uint64)
 
@@ -152,9 +152,14 @@ def signatures(prints: DataFrame, words: list[str], per_word: int, bits: int, ca
 
 
 def _buckets(signed: DataFrame, key: str = "sig") -> DataFrame:
-    """The rows whose signature occurs more than once, with the bucket's size `n`."""
-    sizes = signed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    return signed.join(sizes, key)
+    """The rows whose signature occurs more than once, with the bucket's size `n`.
+
+    The rows themselves are never broadcast: Spark judges them by the files before their
+    signatures were spread, so that it would take some gigabytes for a few megabytes.
+    """
+    sizes = staged(signed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    few = sizes.count() <= BROADCAST_ROWS
+    return signed.join(F.broadcast(sizes) if few else sizes.hint("merge"), key)
 
 
 def links(prints: DataFrame, most: int = 2, bucket: int | None = None) -> DataFrame:
@@ -188,7 +193,7 @@ def links(prints: DataFrame, most: int = 2, bucket: int | None = None) -> DataFr
         return found if near is None else found.union(near.join(crowded.select(F.col("w0").alias("b")), "b").select(F.least("w0", "b").alias("a"), F.greatest("w0", "b").alias("b"))).distinct()
     hubs = crowded.select("w0", F.explode(F.array(F.col("w0"), *(_flip(k) for k in range(64)))).alias("hub"))
     firsts = hubs.groupBy("hub").agg(F.min("w0").alias("a"), F.count("*").alias("n")).where("n > 1").select("hub", "a")
-    chained = hubs.join(firsts, "hub").where("a <> w0").select("a", F.col("w0").alias("b"))
+    chained = hubs.join(firsts.hint("merge"), "hub").where("a <> w0").select("a", F.col("w0").alias("b"))
     return found.union(chained).distinct()
 
 
