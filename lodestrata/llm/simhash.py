@@ -231,8 +231,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Pairs (a, b) of `node` with a similarity of 0.8 or more, which connect all such pairs that the indexes find.
+def near_roots(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, root) of each node with links: root is the smallest node reachable by pairs with a similarity of 0.8 or more that the indexes find.
 
     `nodes` holds distinct shingle sets by `node` with w0 and sigs, and doc_id and h of one
     of their texts in `rep`; `texts` holds doc_id, h and text. Candidates are those of
@@ -255,7 +255,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     own = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
     sets = staged(shingle_sets(own.dropDuplicates(["node"]), words), "sets")
     found = staged(similar(first, sets), "links")
-    every, roots, heads_each = found, None, 1
+    roots, heads_each = None, 1
     live = live.withColumn("root", F.col("node"))
     marked = nodes.select("node", "sigs")
     while True:
@@ -273,7 +273,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
         several = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         live = staged(live.join(several, "key"), "rest")
         if live.limit(1).count() == 0:
-            return every
+            return found.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots  # without any roots no round found a link
         part = F.pmod(F.xxhash64("node"), F.lit(heads_each))
         chosen = staged(live.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("head")).select("key", F.col("head.node").alias("head"), F.col("head.root").alias("head_root")), "heads")
         members, by_key = live, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("head_root"))
@@ -284,7 +284,6 @@ def near_links(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             by_key &= F.array_min(F.array_intersect("sigs", "head_sigs")) == F.col("key")
         star = members.join(heads, by_key).select(F.col("head").alias("a"), F.col("node").alias("b"))
         found = staged(similar(_ordered(star), sets), "links")
-        every = every.union(found)
         taken = chosen.select(F.col("key").alias("_key"), "head")
         live = live.join(taken, (F.col("key") == F.col("_key")) & (F.col("node") == F.col("head")), "left_anti").select("key", "node", "root")
         heads_each *= 16
@@ -309,7 +308,7 @@ def near_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     nodes = prints.groupBy("digest").agg(F.min(F.struct(none, "doc_id", "h")).alias("rep"), F.min("w0").alias("w0"), F.min("sigs").alias("sigs"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so that the numbers stay
     texts = documents(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    of_node = components(near_links(nodes, texts, words)).select("node", F.col("root").alias("group"))
+    of_node = near_roots(nodes, texts, words).select("node", F.col("root").alias("group"))
     grouped = prints.select("doc_id", "h", "digest").join(nodes.select("digest", "node"), "digest").join(of_node, "node", "left").withColumn("group", F.coalesce("group", "node"))
     first = grouped.groupBy("group").agg(F.min(F.struct(none, "doc_id", "h")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
