@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, language, lines, packing, quality, secrets, simhash, suffix
+from . import ann, bpe, conversations, exact, language, lines, packing, quality, secrets, simhash, suffix
 from .common import held_out
 
 
@@ -70,7 +70,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(counted, vocabulary, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_line_dedup, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_nearest, op8_simhash, op9_language, op10_bpe)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each conversation of the table: faults after the damage, cost, audit and the hash of the repaired turns; one whose rows are all gone has zeros."""
+    table = _table(spark, sf_dir, "conversations")
+    report, turns = conversations.repair(conversations.damaged(table))
+    every = table.select(F.col("conv_id").alias("id")).distinct()
+    found = every.join(report, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    found = found.join(conversations.digests(turns), F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_line_dedup, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_nearest, op8_simhash, op9_language, op10_bpe, op11_conversation_repair)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
