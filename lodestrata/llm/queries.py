@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, conversations, exact, language, lines, packing, quality, secrets, simhash, suffix
+from . import ann, bpe, caps, conversations, exact, language, lines, packing, quality, secrets, simhash, suffix
 from .common import held_out
 
 
@@ -81,7 +81,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_line_dedup, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_nearest, op8_simhash, op9_language, op10_bpe, op11_conversation_repair)}
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector of the table: its links within its label at a cosine of 0.93 or more, its component, and whether it is the one that stays."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return caps.near_copies(vectors, vectors["label"], 0.93).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_line_dedup, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_nearest, op8_simhash, op9_language, op10_bpe, op11_conversation_repair, op13_near_vectors)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
