@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, caps, conversations, exact, language, lines, packing, quality, secrets, simhash, suffix
+from . import ann, bpe, caps, conversations, exact, language, lines, negatives, packing, quality, secrets, simhash, suffix
 from .common import held_out
 
 
@@ -81,13 +81,20 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of each anchor (ids divisible by 100) and positive among all rows of the table; ids divisible by 7 have the next label."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    own, label = vectors["vec_id"], vectors["label"]
+    return negatives.hard_negatives(vectors, own % 100 == 0, F.when(own % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each vector of the table: its links within its label at a cosine of 0.93 or more, its component, and whether it is the one that stays."""
     vectors = _table(spark, sf_dir, "embeddings")
     return caps.near_copies(vectors, vectors["label"], 0.93).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_line_dedup, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_nearest, op8_simhash, op9_language, op10_bpe, op11_conversation_repair, op13_near_vectors)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_line_dedup, op4_packing, op5_exact_dedup, op6_suffix_dedup, op7_nearest, op8_simhash, op9_language, op10_bpe, op11_conversation_repair, op12_hard_negatives, op13_near_vectors)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
@@ -110,4 +117,28 @@ ORACLES = {
             FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op12_hard_negatives": """
+        WITH w AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM w a JOIN w c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT * FROM n WHERE rank <= 10""",
+    "op13_near_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+        l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.93),
+        r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        c AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1),
+        n AS (SELECT x, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT x AS vec_id, coalesce(n_links, 0) AS n_links, component_id, x = component_id AS kept FROM c LEFT JOIN n USING (x)""",
 }
