@@ -29,6 +29,9 @@ BROADCAST_LINES = 1 << 20
 FIELD = "\0"
 _DIGIT = re.compile(r"[0-9]")
 
+#: Begins the words of a line that recurs only as a whole; no token can hold it.
+WHOLE = "\n"
+
 
 def parsed_lines(text: str, every: bool = False) -> Iterator[tuple[int, int, str]]:
     """(number, hash of the leaf, tokens joined by newlines) of the lines that take part; fields are masked.
@@ -44,7 +47,7 @@ def parsed_lines(text: str, every: bool = False) -> Iterator[tuple[int, int, str
             yield number, _hash(f"{len(masked)} {' '.join(masked[:LEADING])}"), "\n".join(masked)
         elif every and tokens:
             own = "\n".join(tokens)
-            yield number, _hash("= " + own), "=\n" + own
+            yield number, _hash("= " + own), WHOLE + own
 
 
 def _hash(text: str) -> int:
@@ -61,7 +64,7 @@ class Leaf:
 
     def place(self, words: str) -> str:
         """The name of the template that takes the line: the one that agrees most, the first of equals, or a new one."""
-        if words.startswith("=\n"):
+        if words.startswith(WHOLE):
             return words
         tokens = words.split("\n")
         line = np.array([self.number.setdefault(t, len(self.number)) for t in tokens], np.int32)

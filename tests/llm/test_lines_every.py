@@ -44,3 +44,11 @@ def test_the_query_drops_short_lines(spark, docs_of, tmp_path):
 
     docs_of([(1, SHORT[0]), (2, SHORT[0])]).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.lines_dropped for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
+def test_lines_that_begin_with_a_sign_share_templates(docs_of):
+    tail = "the annual report of the team {} was filed again today in full"
+    for sign in ("*", "=", "=="):
+        rows = [(i, f"{sign} {tail.format(name)}\n= 1\nown{i}") for i, name in enumerate(("alpha", "bravo", "carol"))]
+        got = {r.doc_id: r.text for r in lines.without_recurring_lines(docs_of(rows), every=True).collect()}
+        assert got == {0: rows[0][1], 1: "own1", 2: "own2"}, sign
