@@ -81,7 +81,7 @@ class Frames:
         """path, and what the rules tell of it: each distinct path is classified once, not each change of it."""
         path = F.col("path")
         hits = rules.surface_hits(path)
-        return self.paths.select("path").distinct().select(
+        return self.changes.select("path").distinct().select(
             "path",
             rules.path_role(path).alias("role"),
             rules.is_vendor(path).alias("vendor"),

@@ -90,3 +90,9 @@ def test_ordering_over_buckets(spark):
     assert [r.before for r in got] == [None, 1, 2, 11, 35]
     sums = running_sum(rows, ["k"], bucket, ["x"], F.col("x"), "s").orderBy("x").collect()
     assert [r.s for r in sums] == [1, 3, 14, 49, 85]
+
+
+def test_every_path_of_a_history_is_classified(spark):
+    f = Literal(spark, [("2026-01-01", "a", ["no/such/part.py", "tests/b.py"]), ("2026-01-02", "b", ["odd name"])])
+    assert {r.path for r in f.kinds.collect()} == {"no/such/part.py", "tests/b.py", "odd name"}
+    assert f.classified("role").count() == 3
