@@ -34,3 +34,19 @@ def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[str]
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     joined = rows.withColumn("_inside", F.sum("_value").over(inside)).join(before, [*keys, "_bucket"])
     return joined.select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, bucket: Column, value: str) -> DataFrame:
+    """`left` with `value` of the last row of `right` at or before its `order` within `keys`; null if there is none.
+
+    Both sides have `order`; buckets as in with_previous: the last value of each bucket is
+    carried over to the next ones, so that a key is never sorted as a whole.
+    """
+    rest = [c for c in left.columns if c not in (*keys, order)]
+    both = right.select(*keys, order, F.lit(0).alias("_side"), F.col(value).alias("_value"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in rest))
+    both = both.unionByName(left.select(*keys, order, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"), *rest)).withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lasts = both.groupBy(*keys, "_bucket").agg(F.max_by("_value", F.when(F.col("_side") == 0, F.col(order))).alias("_last"))
+    before = lasts.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    found = both.withColumn("_own", F.last("_value", ignorenulls=True).over(inside)).where("_side = 1").join(before, [*keys, "_bucket"])
+    return found.select(*left.columns, F.coalesce("_own", "_carried").alias(value))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.ordering import with_previous
 
 
 class Frames:
@@ -76,6 +77,28 @@ class Frames:
         status = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "N", "M").otherwise("D")
         return lines.groupBy(F.col("l_orderkey").alias("sha"), "path").agg(F.min(status).alias("status"), F.sum("l_quantity").cast("long").alias("added"), F.sum("l_linenumber").cast("long").alias("deleted"))
 
+    @cached_property
+    def graph_parents(self) -> DataFrame:
+        """sha, n, parent: a customer's commits follow each other and start from the repository's commit before; a merge has that one as its second parent."""
+        rows = self.commits.select("repo", "customer", "sha", "local_day", "is_merge")
+        order, month = ["local_day", "sha"], F.trunc("local_day", "month")
+        rows = with_previous(rows, ["customer"], month, order, {"sha": "own"})
+        rows = with_previous(rows, ["repo"], month, order, {"sha": "before"})
+        first = F.coalesce("own", "before")
+        both = F.array(F.struct(F.lit(0).alias("n"), first.alias("parent")), F.struct(F.lit(1).alias("n"), F.when(F.col("is_merge") & (F.col("before") != first), F.col("before")).alias("parent")))
+        return rows.select("sha", F.explode(both).alias("p")).select("sha", "p.*").where("parent IS NOT NULL")
+
+    @cached_property
+    def graph_changes(self) -> DataFrame:
+        """sha, pos, path, old_path, status: the changes on fifty paths, so that they meet, some of them renames and copies of another path."""
+        names = self.paths.where("partkey <= 50")
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("sha"), (F.col("l_partkey") % 50 + 1).alias("partkey"), F.col("l_returnflag").alias("flag"), (F.col("l_suppkey") % 50 + 1).alias("other"))
+        rows = lines.groupBy("sha", "partkey").agg(F.min("flag").alias("flag"), F.min("other").alias("other"))
+        moved = (F.col("flag") == "N") & (F.col("other") != F.col("partkey"))
+        status = F.when(moved & (F.col("other") % 4 == 0), "R").when(moved & (F.col("other") % 4 == 1), "C").when(F.col("flag") == "A", "A").when(F.col("flag") == "N", "M").otherwise("D")
+        rows = rows.join(names, "partkey").join(names.select(F.col("partkey").alias("other"), F.col("path").alias("old")), "other")
+        return rows.select("sha", F.col("partkey").cast("long").alias("pos"), "path", F.when(status.isin("R", "C"), F.col("old")).alias("old_path"), status.alias("status"))
+
     @cached_property
     def kinds(self) -> DataFrame:
         """path, and what the rules tell of it: each distinct path is classified once, not each change of it."""

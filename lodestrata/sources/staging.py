@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -26,3 +27,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}/{name}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_count(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """`staged`, and the number of rows that meet the condition, counted while they are written."""
+    seen = Observation()
+    rows = staged(df.observe(seen, F.count_if(F.coalesce(condition, F.lit(False))).alias("n")), name)
+    return rows, seen.get["n"]
