@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import quantiles, rules
 from ..functions.observe import gated, ratio, reason, rounded
 from ..functions.ordering import running_sum, with_previous
 from ..plans.surrogate import Frames
@@ -114,9 +114,10 @@ def rhythm(f: Frames, keys: tuple[str, ...] = ("repo",)) -> DataFrame:
     counts = rows.groupBy(*keys).agg(F.count_if(inside).alias("sample"), F.count_if(~inside).alias("outside"), F.countDistinct(F.when(inside, F.col("local_day"))).alias("active_days"))
     back = with_previous(rows.where(inside), list(keys), F.trunc("local_day", "month"), ["author_sec", "sha"], {"author_sec": "before"})
     gap = (F.col("author_sec") - F.col("before")) / F.lit(86400.0)
-    gaps = back.where("before IS NOT NULL").select(*keys, gap.alias("gap")).groupBy(*keys).agg(
-        F.count("*").alias("gaps"), F.median("gap").alias("median"), F.percentile("gap", 0.9).alias("p90"), F.avg((F.col("gap") <= 2).cast("int")).alias("burst"), F.avg((F.col("gap") >= 30).cast("int")).alias("long")
-    )
+    each = back.where("before IS NOT NULL").select(*keys, gap.alias("gap"))
+    shares = each.groupBy(*keys).agg(F.avg((F.col("gap") <= 2).cast("int")).alias("burst"), F.avg((F.col("gap") >= 30).cast("int")).alias("long"))
+    points = quantiles.quantiles(each, list(keys), F.col("gap"), {"median": quantiles.linear(0.5), "p90": quantiles.linear(0.9)})
+    gaps = points.withColumnRenamed("n", "gaps").join(shares, list(keys))
     sample = F.col("sample")
     return counts.join(gaps, list(keys), "left").select(
         *keys,

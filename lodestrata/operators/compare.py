@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import quantiles, rules
 from ..functions.observe import gated, ratio, rounded
 from ..plans.surrogate import Frames
 from . import commits, paths
@@ -102,6 +102,23 @@ def distribution(f: Frames) -> DataFrame:
     return out.select("n", F.posexplode("p").alias("point", "x")).select("n", F.col("point").cast("long").alias("point"), rounded(F.col("x")).alias("bound"))
 
 
+#: Values that a stratum needs for points of its own.
+STRATUM_FLOOR = 30
+
+
+def strata(f: Frames) -> DataFrame:
+    """Quartiles (by the exclusive method, from four values on) and ten linear points of the balances in each stratum of two dimensions, and of all.
+
+    A stratum with fewer than STRATUM_FLOOR values has its number and the reason only.
+    """
+    rows = f.table("customer").select(F.col("c_acctbal").alias("v"), F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("stratum")), F.struct(F.lit("segment").alias("dimension"), F.col("c_mktsegment").alias("stratum")), F.struct(F.lit("nation").alias("dimension"), F.col("c_nationkey").cast("string").alias("stratum"))).alias("s"))
+    points = {"q1": quantiles.exclusive(0.25), "median": quantiles.linear(0.5), "q3": quantiles.exclusive(0.75), **{f"p{k}": quantiles.linear(k / 9) for k in range(10)}}
+    out = quantiles.quantiles(rows.select(F.explode("s").alias("s"), "v").select("s.*", "v"), ["dimension", "stratum"], F.col("v"), points)
+    issued = (F.col("n") >= STRATUM_FLOOR) | (F.col("dimension") == "all")
+    shown = [F.when(issued & (F.col("n") >= 4), rounded(F.col(p))).alias(p) for p in points]
+    return out.select("dimension", "stratum", "n", *shown, F.when(~issued, "context_stratum_too_small").alias("reason"))
+
+
 def reference_deciles(f: Frames) -> DataFrame:
     """Each repository's decile among all: ten times the share at or below it, cut down, 1 to 10.
 

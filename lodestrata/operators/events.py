@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import quantiles, rules
 from ..functions.observe import ratio, rounded, rounded_duration
 from ..functions.ordering import with_previous
 from ..plans.surrogate import Frames
@@ -63,13 +63,14 @@ def event_rhythm(f: Frames, exact: bool = False) -> DataFrame:
     middle = F.median("n") if exact else _upper_median("n")
     per = days.groupBy("repository").agg(F.count("*").alias("active_days"), F.sum("n").alias("events"), middle.cast("double").alias("median_day"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("same_day"))
     bursts = days.join(per.select("repository", "median_day"), "repository").groupBy("repository").agg(F.count_if(F.col("n") >= F.greatest(F.lit(2.0), 2 * F.col("median_day"))).alias("burst_days"))
-    gaps = _gaps(f).groupBy("repository").agg(F.count("*").alias("gaps"), F.median("gap").alias("gap_median"), F.percentile("gap", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    low, high = F.get("q", 0), F.get("q", 1)
+    points = {"gap_median": quantiles.linear(0.5), "low": quantiles.linear(0.25), "high": quantiles.linear(0.75)}
+    gaps = quantiles.quantiles(_gaps(f), ["repository"], F.col("gap"), points).withColumnRenamed("n", "gaps")
+    low, high = F.col("low"), F.col("high")
     iqr = rounded(high - low) if exact else rounded(rounded(high) - rounded(low))
     releases = f.events.where("event_type = 'ReleaseEvent'").select("repository", "event_id", "day", "micros")
     between = with_previous(releases, ["repository"], F.trunc("day", "month"), ["micros", "event_id"], {"micros": "before"}).where("before IS NOT NULL")
-    interval = between.select("repository", ((F.col("micros") - F.col("before")) / F.lit(float(DAY))).alias("gap")).groupBy("repository").agg(F.percentile("gap", 0.5).alias("true_median"), F.count("*").alias("n_gaps"), F.sort_array(F.collect_list("gap")).alias("all"))
-    upper = F.get("all", F.floor(F.col("n_gaps") / 2).cast("int"))
+    middle = quantiles.linear(0.5) if exact else quantiles.upper_middle()
+    interval = quantiles.quantiles(between, ["repository"], (F.col("micros") - F.col("before")) / F.lit(float(DAY)), {"interval": middle}).drop("n")
     out = per.join(bursts, "repository").join(gaps, "repository", "left").join(interval, "repository", "left").crossJoin(F.broadcast(span))
     burst_share = F.col("burst_days") / F.col("active_days")
     shape = F.when((F.col("events") < rules.SHAPE_EVENTS) | (F.col("active_days") < rules.SHAPE_DAYS), "not_proven:insufficient_population").when(F.col("window_days") < rules.SHAPE_WINDOW, "not_proven:window_too_short_for_shape").when((F.col("burst_days") > 0) & (burst_share >= 0.5), "burst").otherwise("constant")
@@ -82,22 +83,29 @@ def event_rhythm(f: Frames, exact: bool = False) -> DataFrame:
         F.when(F.col("gaps") >= 4, iqr).alias("gap_iqr_hours"),
         ratio(F.col("same_day"), F.col("events")).alias("same_day_share"),
         ratio(F.col("burst_days"), F.col("active_days")).alias("burst_day_share"),
-        rounded(F.col("true_median") if exact else upper).alias("release_interval_days"),
+        rounded(F.col("interval")).alias("release_interval_days"),
         shape.alias("shape"),
     )
 
 
+def _medians(rows: DataFrame, key: str, value: Column, kinds: dict[str, str]) -> DataFrame:
+    """`key` and the median of `value` of each kind, as a column of its name."""
+    points = quantiles.quantiles(rows.where(F.col("kind").isin(*kinds)), [key, "kind"], value, {"median": quantiles.linear(0.5)})
+    return points.groupBy(key).agg(*(F.max(F.when(F.col("kind") == kind, F.col("median"))).alias(name) for kind, name in kinds.items()))
+
+
 def tracker_summary(f: Frames) -> DataFrame:
     """Event counts, hours from opening to triage and closing, and the share of linked issues, by project."""
     rows = f.tracker
     opened = rows.where("kind = 'issue_opened'").select("project", "record_id", F.col("sec").alias("start"))
     hours = (F.col("sec") - F.col("start")) / F.lit(3600.0)
-    out = rows.join(opened, ["project", "record_id"], "left").groupBy("project").agg(
+    timed = rows.join(opened, ["project", "record_id"], "left")
+    out = timed.groupBy("project").agg(
         F.count("*").alias("events"),
-        *(F.count_if(F.col("kind") == k).alias(k) for k in ("issue_opened", "issue_triaged", "issue_closed", "issue_linked")),
-        F.median(F.when(F.col("kind") == "issue_triaged", hours)).alias("triage"),
-        F.median(F.when(F.col("kind") == "issue_closed", hours)).alias("close"),
+        *(F.count_if(F.col("kind") == k).alias(k) for k in ("issue_opened", "issue_triaged", "issue_closed", "issue_linked"))
     )
+    medians = _medians(timed, "project", hours, {"issue_triaged": "triage", "issue_closed": "close"})
+    out = out.join(medians, "project", "left")
     return out.select("project", "events", "issue_opened", "issue_triaged", "issue_closed", "issue_linked", rounded_duration(F.col("triage")).alias("triage_median_hours"), rounded_duration(F.col("close")).alias("close_median_hours"), ratio(F.col("issue_linked"), F.col("issue_opened")).alias("linked_issue_share"))
 
 
@@ -107,22 +115,20 @@ def lifecycle_summary(f: Frames) -> DataFrame:
     times = ("created", "in_progress", "first_review", "merged", "closed", "released")
     days = rows.select("project", F.explode(F.array_compact(F.array(*times))).alias("sec")).groupBy("project").agg(F.countDistinct(F.floor(F.col("sec") / 86400)).alias("active_days"))
 
-    def hours(kind: str, to: str):
-        return rounded_duration(F.median(F.when(F.col("record_type") == kind, (F.col(to) - F.col("created")) / F.lit(3600.0))))
-
+    # hours from the creation, of issues and pull requests
+    spans = {"issue_to_progress_hours": ("issue", "in_progress"), "issue_to_closed_hours": ("issue", "closed"), "pr_to_review_hours": ("pull_request", "first_review"), "pr_to_merged_hours": ("pull_request", "merged")}
+    each = F.array(*(F.struct(F.lit(name).alias("kind"), F.when(F.col("record_type") == kind, (F.col(to) - F.col("created")) / F.lit(3600.0)).alias("hours")) for name, (kind, to) in spans.items()))
+    medians = _medians(rows.select("project", F.explode(each).alias("s")).select("project", "s.*"), "project", F.col("hours"), {name: name for name in spans})
     issue, release = F.col("record_type") == "issue", F.col("record_type") == "release"
     out = rows.groupBy("project").agg(
-        hours("issue", "in_progress").alias("issue_to_progress_hours"),
-        hours("issue", "closed").alias("issue_to_closed_hours"),
-        hours("pull_request", "first_review").alias("pr_to_review_hours"),
-        hours("pull_request", "merged").alias("pr_to_merged_hours"),
         F.count_if(release).alias("releases"),
         F.count_if(issue).alias("issues"),
         F.count_if(issue & F.col("linked").isNotNull()).alias("linked_issues"),
     )
     shipped = rows.where(release & F.col("released").isNotNull()).select("project", "record_id", "released")
     gaps = with_previous(shipped, ["project"], F.floor(F.col("released") / (86400 * 31)), ["released", "record_id"], {"released": "before"}).where("before IS NOT NULL")
-    interval = gaps.groupBy("project").agg(rounded_duration(F.median((F.col("released") - F.col("before")) / F.lit(86400.0))).alias("release_interval_days"))
+    interval = quantiles.quantiles(gaps, ["project"], (F.col("released") - F.col("before")) / F.lit(86400.0), {"median": quantiles.linear(0.5)}).select("project", rounded_duration(F.col("median")).alias("release_interval_days"))
+    out = out.join(medians.select("project", *(rounded_duration(F.col(name)).alias(name) for name in spans)), "project", "left")
     return out.join(days, "project").join(interval, "project", "left").select("*", ratio(F.col("linked_issues"), F.col("issues")).alias("linked_issue_share")).drop("linked_issues")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.observe import gated, ratio
+from ..functions.ordering import running_sum
 from ..plans.surrogate import Frames
 from . import commits, paths
 
@@ -59,15 +60,9 @@ def presence(f: Frames) -> DataFrame:
 
 
 def founder_timing(f: Frames) -> DataFrame:
-    """How many commits of the repository precede each actor's first: days before it count whole, its own day by order."""
-    rows = f.scoped.select("repo", "actor", F.struct("local_day", "ord").alias("at"))
-    first = rows.groupBy("repo", "actor").agg(F.min("at").alias("first"))
-    days = rows.groupBy("repo", F.col("at.local_day").alias("day")).agg(F.count("*").alias("n"))
-    before = first.join(days, "repo").where(F.col("day") < F.col("first.local_day")).groupBy("repo", "actor").agg(F.sum("n").alias("before"))
-    own = first.alias("f").join(rows.alias("r"), (F.col("f.repo") == F.col("r.repo")) & (F.col("f.first.local_day") == F.col("r.at.local_day")) & (F.col("r.at") < F.col("f.first")))
-    own = own.groupBy(F.col("f.repo").alias("repo"), F.col("f.actor").alias("actor")).agg(F.count("*").alias("own"))
-    zero = F.lit(0)
-    return first.join(before, ["repo", "actor"], "left").join(own, ["repo", "actor"], "left").select("repo", "actor", (F.coalesce("before", zero) + F.coalesce("own", zero)).alias("position"))
+    """How many commits of the repository precede each actor's first."""
+    place = running_sum(f.scoped.select("repo", "actor", "local_day", "ord"), ["repo"], F.col("local_day"), ["local_day", "ord"], F.lit(1), "place")
+    return place.groupBy("repo", "actor").agg((F.min("place") - 1).alias("position"))
 
 
 def decile_by_bounds(f: Frames) -> DataFrame:

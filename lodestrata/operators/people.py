@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import quantiles, rules
 from ..functions.observe import gated, ratio, reason, rounded
-from ..functions.ordering import with_previous
+from ..functions.ordering import running_sum, with_previous
 from ..plans.surrogate import Frames
 
 
@@ -37,19 +37,27 @@ def coverage(f: Frames) -> DataFrame:
     return out.select("repo", "actors", "attributed", (F.col("total") - F.col("attributed")).alias("unresolved"), ratio(F.col("attributed"), F.col("total")).alias("coverage"))
 
 
-def _accounts(f: Frames) -> DataFrame:
-    """sha, actor and account of each piece of account evidence."""
-    supplier = f.table("supplier").select(F.col("s_nationkey").cast("long").alias("repo"), F.col("s_suppkey").alias("account"))
-    return f.human.select("repo", "sha", F.col("customer").alias("actor")).join(supplier, "repo", "left").where("account IS NULL OR actor % 5 = account % 5")
+def _evidence(f: Frames) -> tuple[DataFrame, DataFrame]:
+    """The commits (repo, sha, actor, slot) and the accounts (repo, slot, account) that they were seen with: those of their repository and slot."""
+    supplier = f.table("supplier").select(F.col("s_nationkey").cast("long").alias("repo"), (F.col("s_suppkey") % 5).alias("slot"), F.col("s_suppkey").alias("account"))
+    return f.human.select("repo", "sha", F.col("customer").alias("actor"), (F.col("customer") % 5).alias("slot")), supplier
 
 
 def account_joins(f: Frames) -> DataFrame:
-    """Commits with no, one or several accounts, and accounts claimed by several actors, by repository."""
-    evidence = _accounts(f).where("account IS NOT NULL")
-    per = f.human.select("repo", "sha").join(evidence.groupBy("sha").agg(F.count("*").alias("n")), "sha", "left")
-    out = per.groupBy("repo").agg(F.count_if(F.col("n").isNull()).alias("unmatched"), F.count_if(F.col("n") == 1).alias("matched"), F.count_if(F.col("n") > 1).alias("ambiguous"))
-    shared = evidence.groupBy("repo", "account").agg(F.min("actor").alias("low"), F.max("actor").alias("high")).groupBy("repo").agg(F.count_if(F.col("low") != F.col("high")).alias("conflicts"))
-    return out.join(shared, "repo", "left").select("repo", "unmatched", "matched", "ambiguous", F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+    """Commits with no, one or several accounts, and accounts claimed by several actors, by repository.
+
+    Accounts are counted by repository and slot before commits meet them, and so are actors.
+    """
+    seen, accounts = _evidence(f)
+    keys = ["repo", "slot"]
+    slots = seen.groupBy(*keys).agg(F.count("*").alias("commits"), F.min("actor").alias("low"), F.max("actor").alias("high")).join(accounts.groupBy(*keys).agg(F.countDistinct("account").alias("n")), keys, "left")
+    n, zero = F.coalesce("n", F.lit(0)), F.lit(0)
+
+    def total(value: Column, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, value)), zero)
+
+    commits = F.col("commits")
+    return slots.groupBy("repo").agg(total(commits, n == 0).alias("unmatched"), total(commits, n == 1).alias("matched"), total(commits, n > 1).alias("ambiguous"), total(n, F.col("low") != F.col("high")).alias("conflicts"))
 
 
 def commit_rule_rows(f: Frames) -> DataFrame:
@@ -101,13 +109,14 @@ def experience(f: Frames) -> DataFrame:
     gap = (F.col("author_sec") - F.col("before")) / F.lit(86400.0)
     out = back.groupBy("repo", "actor").agg(
         F.count("*").alias("commits"),
-        F.median(gap).alias("median"),
         F.max(gap).alias("longest"),
         F.count_if("dependency").alias("dependency_commits"),
         F.min("author_sec").alias("first_sec"),
         F.first("repo_start").alias("repo_start"),
         F.sum(F.when(early, F.coalesce("added", F.lit(0))).otherwise(0)).alias("scaffold"),
     )
+    middle = quantiles.quantiles(back, ["repo", "actor"], gap, {"median": quantiles.linear(0.5)}).drop("n")
+    out = out.join(middle, ["repo", "actor"], "left")
     whole = out.groupBy("repo").agg(F.sum("scaffold").alias("scaffold_all"))
     n = F.col("commits")
     return out.join(whole, "repo").select(
@@ -124,16 +133,16 @@ def experience(f: Frames) -> DataFrame:
 
 def size_points(f: Frames) -> DataFrame:
     """The repository's commits at an actor's first, median (nearest rank) and last contribution."""
-    order = Window.partitionBy("repo", "actor").orderBy("author_sec", "sha")
-    ranked = f.scoped.select("repo", "actor", "sha", "author_sec", F.row_number().over(order).alias("rn"), F.count("*").over(Window.partitionBy("repo", "actor")).alias("n"))
+    rows = f.scoped.select("repo", "actor", "sha", "author_sec")
+    day, order, one = F.floor(F.col("author_sec") / 86400), ["author_sec", "sha"], F.lit(1)
+    ranked = running_sum(rows, ["repo", "actor"], day, order, one, "rn")
+    counts = rows.groupBy("repo", "actor").agg(F.count("*").alias("n"))
+    ranked = ranked.join(counts.where(F.col("n") >= rules.FLOOR), ["repo", "actor"])
     labels = F.array_compact(F.array(F.when(F.col("rn") == 1, "first"), F.when(F.col("rn") == F.floor((F.col("n") - 1) / 2) + 1, "median"), F.when(F.col("rn") == F.col("n"), "last")))
-    points = ranked.where(F.col("n") >= rules.FLOOR).select("repo", "actor", "sha", "author_sec", "n", F.explode(labels).alias("point"))
-    days = f.scoped.groupBy("repo", F.floor(F.col("author_sec") / 86400).alias("d")).agg(F.count("*").alias("c"))
-    upto = days.select("repo", "d", (F.sum("c").over(Window.partitionBy("repo").orderBy("d")) - F.col("c")).alias("before"))  # one row a day
-    own = f.scoped.select("repo", F.col("author_sec").alias("sec"), F.floor(F.col("author_sec") / 86400).alias("d"))
-    at = points.withColumn("d", F.floor(F.col("author_sec") / 86400))
-    same = at.join(own, ["repo", "d"]).where("sec <= author_sec").groupBy("repo", "actor", "point", "sha").agg(F.count("*").alias("same_day"))
-    return at.join(upto, ["repo", "d"]).join(same, ["repo", "actor", "point", "sha"]).select("repo", "actor", "point", "sha", F.col("n").alias("contributions"), (F.col("before") + F.col("same_day")).alias("repository_commits"))
+    points = ranked.select("repo", "actor", "sha", "author_sec", "n", F.explode(labels).alias("point"))
+    seconds = rows.groupBy("repo", "author_sec").agg(F.count("*").alias("same"))  # commits of one second count together
+    upto = running_sum(seconds, ["repo"], day, ["author_sec"], F.col("same"), "commits").select("repo", "author_sec", "commits")
+    return points.join(upto, ["repo", "author_sec"]).select("repo", "actor", "point", "sha", F.col("n").alias("contributions"), F.col("commits").alias("repository_commits"))
 
 
 def self_returns(f: Frames) -> DataFrame:

@@ -1,8 +1,9 @@
-"""DuckDB SQL of the measures in operators/lineage.py."""
+"""DuckDB SQL of the measures in operators/lineage.py, and of the strata."""
 
 from __future__ import annotations
 
 from ..functions import rules as R
+from ..operators import compare
 from .oracles import COMMITS, PATHS, ratio
 
 GRAPH = f"""{COMMITS},{PATHS},
@@ -36,7 +37,21 @@ t AS (
   SELECT t0.*, CASE WHEN NOT c.is_merge THEN c.actor END AS made_by, c.is_bot AND NOT c.is_merge AS made_by_bot, c.author_sec AS made_sec
   FROM t0 LEFT JOIN t0 c ON c.id = t0.creation AND c.id = c.creation)"""
 
+
+def _exclusive(p: float) -> str:
+    low = f"greatest(1, least(CAST(floor((n + 1) * {p}) AS BIGINT), n - 1))"
+    return f"(v[{low}] + (v[least({low} + 1, n)] - v[{low}]) * ((n + 1) * {p} - {low}))"
+
+
+def _shown(x: str) -> str:
+    return f"CASE WHEN n >= 4 AND (n >= {compare.STRATUM_FLOOR} OR dimension = 'all') THEN round({x}, 4) END"
+
+
 ORACLES = {
+    "agg34_strata": f"""WITH s AS (SELECT unnest([{{'dimension': 'all', 'stratum': 'all'}}, {{'dimension': 'segment', 'stratum': c_mktsegment}}, {{'dimension': 'nation', 'stratum': CAST(c_nationkey AS VARCHAR)}}], recursive := true), c_acctbal AS x FROM customer),
+g AS (SELECT dimension, stratum, count(*) AS n, list_sort(list(x)) AS v, {', '.join(f'quantile_cont(x, {k} / 9.0::DOUBLE) AS r{k}' for k in range(10))}, quantile_cont(x, 0.5) AS m FROM s GROUP BY 1, 2)
+SELECT dimension, stratum, n, {_shown(_exclusive(0.25))} AS q1, {_shown('m')} AS median, {_shown(_exclusive(0.75))} AS q3, {', '.join(f"{_shown(f'r{k}')} AS p{k}" for k in range(10))},
+  CASE WHEN n < {compare.STRATUM_FLOOR} AND dimension <> 'all' THEN 'context_stratum_too_small' END AS reason FROM g""",
     "jn23_graph_lineage": f"""WITH RECURSIVE {GRAPH},
 e AS (SELECT * FROM t WHERE NOT is_merge AND NOT is_bot AND status IN ('M', 'R') AND made_by IS NOT NULL),
 x AS (SELECT repo, actor, count(*) AS edit_commits, count(*) FILTER (other) AS cross_author FROM (SELECT repo, actor, sha, bool_or(made_by <> actor) AS other FROM e WHERE NOT made_by_bot GROUP BY ALL) GROUP BY 1, 2),

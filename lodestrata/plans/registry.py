@@ -49,6 +49,7 @@ _MEASURES: dict[str, Callable[[Frames], DataFrame]] = {
     "agg32_complementarity": compare.complementarity,
     "agg33_prevalence": portfolio.prevalence,
     "agg34_distribution": compare.distribution,
+    "agg34_strata": compare.strata,
     "agg35_groups": compare.group_comparison,
     "agg37_role_validation": compare.role_validation,
     "agg38_periods": portfolio.periods,
