@@ -1,4 +1,4 @@
-"""DuckDB SQL of the measures in operators/lineage.py, and of the strata."""
+"""DuckDB SQL of the measures in operators/lineage.py and operators/identity.py, and of the strata."""
 
 from __future__ import annotations
 
@@ -38,6 +38,28 @@ t AS (
   FROM t0 LEFT JOIN t0 c ON c.id = t0.creation AND c.id = c.creation)"""
 
 
+#: Bot addresses that share one spelling belong to several customers, so declarations and entries go by address.
+RESOLVED = f"""{COMMITS},
+decl AS (SELECT DISTINCT customer, lower(trim(author_email)) AS email FROM commits WHERE trim(author_email) <> '' AND customer % 4 = 0),
+claims AS (
+  SELECT email, 'person-' || (customer // 8) AS canonical_id, CASE WHEN customer % 3 = 0 THEN 'verified' ELSE 'external' END AS state, CASE WHEN customer % 8 = 0 THEN 'person-' || (customer // 8) END AS login FROM decl
+  UNION ALL SELECT email, 'someone-else', 'claimed', CASE WHEN customer % 8 = 0 THEN 'someone-else' END FROM decl WHERE customer % 44 = 0),
+owner AS (SELECT email, list_sort(list_distinct(list(canonical_id))) AS candidates, max(state) AS state, max(login) AS login FROM claims GROUP BY 1),
+adr AS (SELECT DISTINCT customer, lower(trim(author_email)) AS email FROM commits WHERE trim(author_email) <> ''),
+mm AS (SELECT a.email AS alias, arg_max(b.email, (a.customer, b.email)) AS canonical FROM adr a JOIN adr b ON b.customer = a.customer - 1 WHERE a.customer % 6 = 1 GROUP BY 1),
+who AS (
+  SELECT h.*, nullif(lower(trim(author_email)), '') AS raw, coalesce(canonical, nullif(lower(trim(author_email)), '')) AS mapped FROM human h LEFT JOIN mm ON alias = lower(trim(author_email))),
+hit AS (
+  SELECT w.*, coalesce(r.candidates, m.candidates) AS candidates, CASE WHEN r.email IS NOT NULL THEN r.state ELSE m.state END AS st, CASE WHEN r.email IS NOT NULL THEN r.login ELSE m.login END AS lg
+  FROM who w LEFT JOIN owner r ON r.email = w.raw LEFT JOIN owner m ON m.email = w.mapped),
+res AS (
+  SELECT *, CASE WHEN len(candidates) > 1 THEN 'conflicting_identity' WHEN candidates IS NOT NULL THEN 'explicit_identity' WHEN mapped IS NOT NULL THEN CASE WHEN mapped = raw THEN 'email' ELSE 'mailmap' END WHEN trim(author_name) <> '' THEN 'missing_email_name' ELSE 'unresolved' END AS basis,
+    CASE WHEN len(candidates) > 1 THEN NULL WHEN candidates IS NOT NULL THEN 'identity:' || candidates[1] WHEN mapped IS NOT NULL THEN 'email:' || mapped ELSE 'name:' || lower(trim(author_name)) END AS partition_key,
+    CASE WHEN len(candidates) = 1 THEN st WHEN candidates IS NULL AND regexp_matches(raw, '@household\\.test$') THEN 'inferred' ELSE 'unresolved' END AS state,
+    CASE WHEN len(candidates) = 1 THEN lg END AS login
+  FROM hit)"""
+
+
 def _exclusive(p: float) -> str:
     low = f"greatest(1, least(CAST(floor((n + 1) * {p}) AS BIGINT), n - 1))"
     return f"(v[{low}] + (v[least({low} + 1, n)] - v[{low}]) * ((n + 1) * {p} - {low}))"
@@ -48,6 +70,9 @@ def _shown(x: str) -> str:
 
 
 ORACLES = {
+    "fn40_identity_tiers": f"WITH {RESOLVED} SELECT repo, basis, count(*) AS commits, count(DISTINCT (author_name, author_email)) AS authors, count(DISTINCT partition_key) AS actors, count(*) FILTER (state IN ('verified', 'claimed', 'inferred')) AS tenant_commits, count(login) AS public_handles FROM res GROUP BY 1, 2",
+    "jn03_conflicts": f"WITH {RESOLVED} SELECT array_to_string(candidates, ',') AS candidates, count(*) AS commits, count(DISTINCT mapped) AS addresses FROM res WHERE basis = 'conflicting_identity' GROUP BY 1",
+    "fn40_partition": f"WITH {RESOLVED} SELECT repo, partition_key, count(*) AS commits, count(DISTINCT raw) AS addresses, min(basis) AS basis FROM res WHERE partition_key IS NOT NULL GROUP BY 1, 2",
     "agg34_strata": f"""WITH s AS (SELECT unnest([{{'dimension': 'all', 'stratum': 'all'}}, {{'dimension': 'segment', 'stratum': c_mktsegment}}, {{'dimension': 'nation', 'stratum': CAST(c_nationkey AS VARCHAR)}}], recursive := true), c_acctbal AS x FROM customer),
 g AS (SELECT dimension, stratum, count(*) AS n, list_sort(list(x)) AS v, {', '.join(f'quantile_cont(x, {k} / 9.0::DOUBLE) AS r{k}' for k in range(10))}, quantile_cont(x, 0.5) AS m FROM s GROUP BY 1, 2)
 SELECT dimension, stratum, n, {_shown(_exclusive(0.25))} AS q1, {_shown('m')} AS median, {_shown(_exclusive(0.75))} AS q3, {', '.join(f"{_shown(f'r{k}')} AS p{k}" for k in range(10))},

@@ -77,6 +77,26 @@ class Frames:
         status = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "N", "M").otherwise("D")
         return lines.groupBy(F.col("l_orderkey").alias("sha"), "path").agg(F.min(status).alias("status"), F.sum("l_quantity").cast("long").alias("added"), F.sum("l_linenumber").cast("long").alias("deleted"))
 
+    #: Addresses of the tenant.
+    tenant_patterns = (r"@household\.test$",)
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        """Declared identities: every fourth customer's address as the digest of one actor for two of them, and every 44th one's of another actor too."""
+        rows = self.commits.where((F.col("customer") % 4 == 0) & (F.trim("author_email") != "")).select("customer", "author_email").distinct()
+        own = F.struct(F.concat(F.lit("person-"), F.floor(F.col("customer") / 8).cast("string")).alias("canonical_id"), F.when(F.col("customer") % 3 == 0, "verified").otherwise("external").alias("state"))
+        other = F.when(F.col("customer") % 44 == 0, F.struct(F.lit("someone-else").alias("canonical_id"), F.lit("claimed").alias("state")))
+        digest = rules.digest("email", rules.normal_email(F.col("author_email")))
+        rows = rows.select(digest.alias("digest"), "customer", F.explode(F.array_compact(F.array(own, other))).alias("d"))
+        return rows.select("d.canonical_id", "digest", "d.state", F.when(F.col("customer") % 8 == 0, F.col("d.canonical_id")).alias("login"))
+
+    @cached_property
+    def mailmap(self) -> DataFrame:
+        """Entries that map every sixth customer's address to the address of the customer before."""
+        rows = self.commits.select("customer", "author_name", rules.normal_email(F.col("author_email")).alias("email")).distinct().where("email <> ''")
+        before = rows.select((F.col("customer") + 1).alias("customer"), F.col("email").alias("canonical_email"), F.col("author_name").alias("canonical_name"))
+        return rows.where(F.col("customer") % 6 == 1).join(before, "customer").select(F.col("customer").alias("line"), "canonical_name", "canonical_email", F.lit(None).cast("string").alias("alias_name"), F.col("email").alias("alias_email"))
+
     @cached_property
     def graph_parents(self) -> DataFrame:
         """sha, n, parent: a customer's commits follow each other and start from the repository's commit before; a merge has that one as its second parent."""

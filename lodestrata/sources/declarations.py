@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tomllib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,3 +77,67 @@ def requirements(spark: SparkSession, text: str) -> DataFrame:
                 bound, _, rest = name.partition("_")
                 rows.append((axis, rest or name, bound if bound in ("min", "max") else "min", float(value)))
     return spark.createDataFrame(rows, "axis string, name string, bound string, target double")
+
+
+#: Fixed values of identity declarations.
+STATES = ("verified", "claimed", "inferred", "unresolved", "external", "bot")
+CONSENT, AUTHORITIES = "recorded-explicit-consent", ("repository-owner-authorization", "subject-authorization")
+CANONICAL_ID, RESERVED_ID, DIGEST = r"[a-z0-9][a-z0-9._-]{0,63}", r"actor_[a-f0-9]{12,32}", r"[0-9a-f]{64}"
+V2_KEYS = {"": {"schema_version", "tenant", "actors"}, "tenant": {"email_patterns"}, "actors": {"canonical_id", "emails", "email_sha256", "github_login", "attribution_state", "consent", "authority"}}
+DECLARED = "canonical_id string, digest string, state string, login string, consent string, authority string"
+
+
+def email_digest(email: str, domain: str = "email") -> str:
+    """The digest that `rules.digest` gives for the address in its normal form."""
+    return hashlib.sha256(f"{domain}\0{email.strip().lower()}".encode()).hexdigest()
+
+
+def _texts(value: object, where: str) -> list[str]:
+    if value is None:
+        return []
+    if not isinstance(value, list) or not all(isinstance(x, str) and x.strip() for x in value):
+        raise DeclarationError(f"{where} must be a list of texts")
+    return value
+
+
+def declared_identities(spark: SparkSession, text: str, domain: str = "email") -> tuple[DataFrame, list[str]]:
+    """The declared actors of an identity TOML (v1 or v2), a row for each address, and the tenant's patterns of addresses.
+
+    Addresses are there as digests only, whether they were declared in plain or as
+    digests (v2). An address of two actors is an error in either form; v2 knows no other
+    keys than its own, and no consent without an authority.
+    """
+    data = tomllib.loads(text)
+    version = str(data.get("schema_version") or "identity-v1")
+    if version not in ("identity-v1", "identity-v2"):
+        raise DeclarationError(f"unknown version {version}")
+    strict = version == "identity-v2"
+    tenant = data.get("tenant") or {}
+    actors = data.get("actors") or []
+    if not isinstance(tenant, dict) or not isinstance(actors, list) or not all(isinstance(a, dict) for a in actors):
+        raise DeclarationError("tenant must be a table and actors a list of tables")
+    for where, blocks in (("", [data]), ("tenant", [tenant]), ("actors", actors)) if strict else ():
+        if extra := {k for b in blocks for k in b} - V2_KEYS[where]:
+            raise DeclarationError(f"unknown keys {sorted(extra)}")
+    patterns = _texts(tenant.get("email_patterns"), "email_patterns")
+    rows, ids, owner = [], set(), {}
+    for actor in actors:
+        name, state, consent, authority = str(actor.get("canonical_id") or ""), str(actor.get("attribution_state", "unresolved")), actor.get("consent"), actor.get("authority")
+        if not re.fullmatch(CANONICAL_ID, name) or re.fullmatch(RESERVED_ID, name) or name in ids:
+            raise DeclarationError(f"canonical_id {name!r} is invalid, reserved or there twice")
+        ids.add(name)
+        if state not in STATES or consent not in (None, CONSENT) or authority not in (None, *AUTHORITIES):
+            raise DeclarationError(f"unknown state, consent or authority of {name}")
+        if consent and (state not in ("verified", "claimed") or (strict and authority is None)):
+            raise DeclarationError(f"the consent of {name} needs a known state and an authority")
+        plain = _texts(actor.get("emails"), "emails")
+        hashed = _texts(actor.get("email_sha256"), "email_sha256") if strict else []
+        if (plain and hashed) or not all(re.fullmatch(DIGEST, d) for d in hashed):
+            raise DeclarationError(f"{name} has addresses in both forms, or a digest that is none")
+        digests = [email_digest(e, domain) for e in plain] + hashed
+        for d in digests:
+            if d in owner:
+                raise DeclarationError(f"an address of {owner[d]} comes again with {name}")
+            owner[d] = name
+        rows += [(name, d, state, actor.get("github_login"), consent, authority) for d in digests or [None]]
+    return spark.createDataFrame(rows, DECLARED), patterns
