@@ -1,9 +1,10 @@
-"""DuckDB SQL of the measures in operators/lineage.py and operators/identity.py, and of the strata."""
+"""DuckDB SQL of the measures in operators/lineage.py, operators/identity.py and operators/evidence.py, and of the strata."""
 
 from __future__ import annotations
 
 from ..functions import rules as R
 from ..operators import compare
+from ..sources import evidence
 from .oracles import COMMITS, PATHS, ratio
 
 GRAPH = f"""{COMMITS},{PATHS},
@@ -60,6 +61,31 @@ res AS (
   FROM hit)"""
 
 
+_REASONS = ", ".join(f"'{r}'" for r in evidence.REASONS)
+REPLAY = f"""
+p0 AS (
+  SELECT page_id AS k, page_id % 7 = 6 AS whole, 's' || (page_id % 7) AS source, page_id // 7 + 1 AS number, url AS request, lead(url) OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS next, html,
+    regexp_extract_all(html, 'href="/?([^"]*)"', 1) AS targets FROM pages),
+p1 AS (
+  SELECT *, CASE WHEN whole OR k % 60 <> 17 THEN next END AS next_request, CASE WHEN NOT whole AND k % 60 = 23 THEN 500 ELSE 200 END AS status, whole OR k % 50 <> 13 AS held,
+    len(targets) AS n_items, len(list_filter(targets, lambda x: NOT coalesce(lower(x[1:1]) BETWEEN 'a' AND 'm', false))) AS n_unlinked FROM p0),
+p2 AS (SELECT *, lag(next_request) OVER (PARTITION BY source ORDER BY number) AS led, max(number) OVER (PARTITION BY source) AS last FROM p1),
+f AS (
+  SELECT source, number, unnest(list_filter([
+    CASE WHEN number > 1 AND led IS DISTINCT FROM request THEN 'request_chain_mismatch' END, CASE WHEN NOT held THEN 'body_missing' END,
+    CASE WHEN held AND NOT whole AND k % 50 = 11 THEN 'body_digest_mismatch' END, CASE WHEN held AND NOT whole AND (k % 50 = 7 OR k % 50 = 11) THEN 'body_bytes_mismatch' END,
+    CASE WHEN status <> 200 AND (n_items <> 0 OR next_request IS DISTINCT FROM request) THEN 'http_retry_semantics_mismatch' END,
+    CASE WHEN status = 200 AND next_request IS DISTINCT FROM next THEN 'page_next_request_mismatch' END, CASE WHEN next_request IS NULL AND number < last THEN 'request_chain_terminated_early' END], lambda x: x IS NOT NULL)) AS reason FROM p2),
+s AS (
+  SELECT source, count(*) AS pages, CAST(sum(n_items) FILTER (status = 200) AS BIGINT) AS claimed, CAST(coalesce(sum(n_items) FILTER (status = 200 AND held), 0) AS BIGINT) AS items,
+    sum(n_unlinked) FILTER (status = 200) AS unlinked, coalesce(sum(n_unlinked) FILTER (status = 200 AND held), 0) AS unlinked_seen, count(*) FILTER (status = 200) AS good, arg_max(coalesce(next_request, ''), number) AS cursor FROM p2 GROUP BY 1),
+d AS (SELECT *, CASE WHEN cursor = '' THEN 'complete' WHEN good > 0 THEN 'partial' ELSE 'unavailable' END AS coverage FROM s),
+af AS (
+  SELECT source, number, reason FROM f UNION ALL SELECT source, NULL, 'unlinked_mismatch' FROM d WHERE unlinked <> unlinked_seen
+  UNION ALL SELECT source, NULL, 'pagination_mismatch' FROM d WHERE claimed <> items OR coverage <> 'complete'),
+fs AS (SELECT source, arg_min(reason, list_position([{_REASONS}], reason)) AS reason, count(*) AS faults FROM af GROUP BY 1)"""
+
+
 def _exclusive(p: float) -> str:
     low = f"greatest(1, least(CAST(floor((n + 1) * {p}) AS BIGINT), n - 1))"
     return f"(v[{low}] + (v[least({low} + 1, n)] - v[{low}]) * ((n + 1) * {p} - {low}))"
@@ -70,6 +96,8 @@ def _shown(x: str) -> str:
 
 
 ORACLES = {
+    "src26_replay_faults": f"WITH {REPLAY} SELECT source, reason, count(*) AS n, min(number) AS first_page FROM af GROUP BY 1, 2",
+    "val13_replay": f"""WITH {REPLAY} SELECT source, CASE WHEN reason IS NULL THEN 'VERIFIED' WHEN reason = 'body_missing' THEN 'CANNOT_VERIFY' ELSE 'MISMATCH' END AS status, reason, coalesce(faults, 0) AS faults, coverage, pages, items, items AS oids FROM d LEFT JOIN fs USING (source)""",
     "fn40_identity_tiers": f"WITH {RESOLVED} SELECT repo, basis, count(*) AS commits, count(DISTINCT (author_name, author_email)) AS authors, count(DISTINCT partition_key) AS actors, count(*) FILTER (state IN ('verified', 'claimed', 'inferred')) AS tenant_commits, count(login) AS public_handles FROM res GROUP BY 1, 2",
     "jn03_conflicts": f"WITH {RESOLVED} SELECT array_to_string(candidates, ',') AS candidates, count(*) AS commits, count(DISTINCT mapped) AS addresses FROM res WHERE basis = 'conflicting_identity' GROUP BY 1",
     "fn40_partition": f"WITH {RESOLVED} SELECT repo, partition_key, count(*) AS commits, count(DISTINCT raw) AS addresses, min(basis) AS basis FROM res WHERE partition_key IS NOT NULL GROUP BY 1, 2",

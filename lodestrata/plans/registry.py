@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import commits, compare, events, gates, graph, identity, lineage, paths, people, portfolio
+from ..operators import commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio
 from . import gate_oracles, graph_oracles, oracles
 from .surrogate import Frames
 
@@ -80,6 +80,7 @@ _MEASURES: dict[str, Callable[[Frames], DataFrame]] = {
     "val07_bounds": portfolio.value_bounds,
     "val09_leak_guard": portfolio.leak_guard,
     **gates.MEASURES,
+    **evidence.MEASURES,
     **identity.MEASURES,
     **lineage.MEASURES,
 }
