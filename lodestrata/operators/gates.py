@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.observe import gated, ratio
 from ..functions.ordering import running_sum
 from ..plans.surrogate import Frames
+from ..streaming import coverage
 from . import commits, paths
 
 #: Days up to which a report looks, actors who consent, and repositories whose history was fetched in part.
@@ -49,6 +50,13 @@ def cadence_gate(f: Frames) -> DataFrame:
     return rows.select("repository", "events", "days", F.when(whole, ratio(F.col("events"), F.col("days"))).alias("events_per_day"), F.when(~whole, "partial_coverage").alias("reason"))
 
 
+def arrival_gate(f: Frames) -> DataFrame:
+    """The gate of the streaming edition over the whole table: rows that came after their day's closing are counted apart."""
+    lag = F.make_dt_interval(hours=(F.col("event_id") % 40).cast("int"))
+    rows = f.table("events").select(F.concat(F.lit("org/r"), (F.col("user_id") % 8).cast("string")).alias("source"), "event_id", "ts", (F.col("ts") + lag).alias("arrived"))
+    return coverage.gate(coverage.covered_days_of(rows))
+
+
 def presence(f: Frames) -> DataFrame:
     """Each declared surface of a repository: presence, or the share against its floor where one is declared."""
     declared = f.spark.createDataFrame(list(DECLARED_SURFACES), "surface string, floor double")
@@ -126,6 +134,7 @@ MEASURES = {
     "flt10_consent": consented,
     "flt11_history": history_gate,
     "flt13_cadence": cadence_gate,
+    "str_coverage_gate": arrival_gate,
     "cmp03_presence": presence,
     "win06_founder": founder_timing,
     "q_decile_bounds": decile_by_bounds,

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio
-from . import gate_oracles, graph_oracles, oracles
+from ..operators import claims, commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio
+from . import claim_oracles, gate_oracles, graph_oracles, oracles
 from .surrogate import Frames
 
 _MEASURES: dict[str, Callable[[Frames], DataFrame]] = {
@@ -80,6 +80,7 @@ _MEASURES: dict[str, Callable[[Frames], DataFrame]] = {
     "val07_bounds": portfolio.value_bounds,
     "val09_leak_guard": portfolio.leak_guard,
     **gates.MEASURES,
+    **claims.MEASURES,
     **evidence.MEASURES,
     **identity.MEASURES,
     **lineage.MEASURES,
@@ -90,7 +91,7 @@ def _over(measure: Callable[[Frames], DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, sf_dir: measure(Frames(spark, sf_dir))
 
 
-ORACLES = oracles.ORACLES | gate_oracles.ORACLES | graph_oracles.ORACLES
+ORACLES = oracles.ORACLES | gate_oracles.ORACLES | graph_oracles.ORACLES | claim_oracles.ORACLES
 
 QUERIES = {name: _over(m) for name, m in _MEASURES.items()}
 
