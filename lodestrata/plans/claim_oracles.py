@@ -50,11 +50,46 @@ _CHECKS = {
     "role_share_fits": ("roles", "roles", f"denominator >= {R.FLOOR} AND abs(share - {ratio('n', 'denominator')}) > 1e-12"),
     "role_share_withheld": ("roles", "roles", f"denominator < {R.FLOOR} AND share IS NOT NULL"),
 }
+TRACKED = f"""{LIFECYCLE},
+k0 AS (SELECT project, record_id AS r, kind, state, sec, CASE kind WHEN 'issue_opened' THEN 0 WHEN 'issue_triaged' THEN 1 WHEN 'issue_closed' THEN 2 ELSE 3 END AS k FROM tracker),
+k1 AS (SELECT *, max(sec) FILTER (k = 0) OVER (PARTITION BY r) AS sec0, max(sec) FILTER (k = 1) OVER (PARTITION BY r) AS sec1 FROM k0),
+k2 AS (SELECT *, CASE WHEN k = 2 AND sec1 IS NOT NULL AND r % 127 <> 0 THEN 1 WHEN k > 0 THEN 0 END AS goal FROM k1),
+ev AS (
+  SELECT project, r * 4 + k AS id, sec * 10 + k AS position, 'issue' AS record_type, r, kind, state,
+    CASE WHEN k = 0 AND r % 107 = 0 THEN r * 4 + 1 WHEN k > 0 AND r % 109 = 0 THEN (r - 3) * 4 WHEN k = 2 AND r % 113 = 0 THEN -1 WHEN goal IS NOT NULL THEN r * 4 + goal END AS previous,
+    CASE goal WHEN 1 THEN 'triaged' WHEN 0 THEN 'open' END AS previous_state, CASE WHEN k = 3 THEN (r + 2) * 4 END AS linked, sec,
+    CASE WHEN k > 0 THEN sec - CASE WHEN goal = 1 THEN sec1 ELSE sec0 END + CASE WHEN r % 101 = 5 THEN 1 ELSE 0 END END AS duration
+  FROM k2
+  UNION ALL SELECT project, record_id * 4, created * 10, 'milestone', record_id, 'milestone_set', CASE WHEN record_id % 10 = 0 THEN 'done' ELSE 'active' END, NULL, NULL, NULL, created, NULL FROM lifecycle WHERE record_type = 'release'),
+way AS (SELECT id, id AS place, 0 AS depth FROM ev UNION ALL SELECT way.id, p.id, depth + 1 FROM way JOIN ev e ON e.id = way.place JOIN ev p ON p.id = e.previous WHERE depth < 12),
+deep AS (SELECT id, max(depth) AS steps, arg_max(place, depth) AS root FROM way GROUP BY 1),
+rooted AS (SELECT id, steps >= 12 AS cyclic, CASE WHEN steps < 12 THEN steps END AS depth, CASE WHEN steps < 12 THEN root END AS root FROM deep),
+forks AS (SELECT previous, count(*) AS after FROM ev WHERE kind <> 'issue_linked' GROUP BY 1)"""
 #: A repeated record counts once more than it should.
 _HALF = {"record_ids_are_unique": " // 2"}
 
 ORACLES = {
     "val07_constraints": CLAIMS + " UNION ALL ".join(f"""SELECT '{name}' AS "constraint", '{table}' AS "table", count(*){_HALF.get(name, '')} AS violations FROM {rows} WHERE {broken}""" for name, (table, rows, broken) in _CHECKS.items()),
+    "jn13_chain_faults": f"""WITH RECURSIVE {TRACKED},
+x AS (
+  SELECT e.project, e.kind, unnest(list_filter([
+    CASE WHEN e.kind IN ('issue_opened', 'milestone_set') AND e.previous IS NOT NULL THEN 'first_has_previous' END,
+    CASE WHEN e.kind NOT IN ('issue_opened', 'milestone_set') AND p.id IS NULL THEN 'broken_previous' END,
+    CASE WHEN p.position >= e.position THEN 'previous_not_earlier' END,
+    CASE WHEN p.record_type <> e.record_type OR p.r <> e.r THEN 'crosses_records' END,
+    CASE WHEN p.id IS NOT NULL AND e.previous_state IS DISTINCT FROM p.state THEN 'previous_state_differs' END,
+    CASE WHEN e.kind NOT IN ('issue_opened', 'milestone_set') AND e.duration IS NULL THEN 'duration_missing' END,
+    CASE WHEN e.sec < p.sec THEN 'negative_duration' END,
+    CASE WHEN e.sec >= p.sec AND e.duration <> e.sec - p.sec THEN 'duration_differs' END,
+    CASE WHEN e.kind <> 'issue_linked' AND p.id IS NOT NULL AND after > 1 THEN 'branching' END,
+    CASE WHEN cyclic THEN 'cyclic' END,
+    CASE WHEN e.kind = 'issue_linked' AND t.id IS NULL THEN 'broken_link' END,
+    CASE WHEN e.kind = 'issue_linked' AND t.position >= e.position THEN 'link_not_earlier' END,
+    CASE WHEN e.kind = 'issue_linked' AND NOT (t.record_type = 'milestone' AND t.state = 'active') THEN 'link_target_unfit' END,
+    CASE WHEN e.kind = 'issue_linked' AND e.state NOT IN ('open', 'triaged') THEN 'linked_when_closed' END], lambda z: z IS NOT NULL)) AS fault
+  FROM ev e LEFT JOIN ev p ON p.id = e.previous LEFT JOIN ev t ON t.id = e.linked LEFT JOIN forks ON forks.previous = e.previous JOIN rooted ON rooted.id = e.id)
+SELECT kind, fault, count(*) AS n, count(DISTINCT project) AS projects FROM x GROUP BY 1, 2""",
+    "val04_chain_lengths": f"WITH RECURSIVE {TRACKED} SELECT depth, cyclic, count(*) AS events, count(DISTINCT root) AS chains FROM rooted GROUP BY 1, 2",
     "str_coverage_gate": f"""WITH e AS (SELECT 'org/r' || (user_id % 8) AS source, event_id, CAST(ts AS DATE) AS day, hour(ts) AS hour, ts + to_hours(CAST(event_id % 40 AS BIGINT)) >= CAST(ts AS DATE) + INTERVAL 26 HOUR AS late FROM events),
 d AS (SELECT source, day, count(DISTINCT event_id) FILTER (NOT late) AS n, count(DISTINCT hour) FILTER (NOT late) AS hours, count(*) FILTER (late) AS late FROM e GROUP BY 1, 2),
 g AS (SELECT source, CAST(sum(n) AS BIGINT) AS events, count(*) FILTER (n > 0) AS days, count(*) FILTER (n > 0 AND hours < 24) AS partial_days, CAST(sum(late) AS BIGINT) AS late FROM d GROUP BY 1)
