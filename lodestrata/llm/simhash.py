@@ -31,6 +31,8 @@ SEED = 42
 SEGMENTS, MARKS = 4, 5
 #: Up to so many ids that go, or signatures that occur twice, are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
+#: How far the distances of two similar sets to a third one may lie apart, with room for rounding.
+MOST_FAR = 0.2 + 1e-9
 _MIX = np.random.default_rng(8).integers(1, 2**63, SEGMENTS * MARKS, dtype=np.uint64)
 
 
@@ -220,11 +222,15 @@ def near_components(docs: DataFrame, words: int = 3, most: int = 2, id_col: str
     return prints.join(of_node, "w0").select("doc_id", "w0", "component_id")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of what their shingle sets share (common) and hold (sum)."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("right")), "b")
-    joined = joined.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("common"), (F.size("left").cast("long") + F.size("right")).alias("sum"))
-    return joined.where(F.col("common") * 5 >= (F.col("sum") - F.col("common")) * 4).select("a", "b")
+    return joined.select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("common"), (F.size("left").cast("long") + F.size("right")).alias("sum"))
+
+
+def similar(pairs: DataFrame) -> DataFrame:
+    """The pairs of `compared` with a Jaccard similarity of 0.8 or more."""
+    return pairs.where(F.col("common") * 5 >= (F.col("sum") - F.col("common")) * 4).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -240,8 +246,11 @@ def near_roots(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     bucket is compared anew without the head until its members are one component, so that
     every pair of it was compared or is connected; each round takes 16 times as many heads. Members are
     never paired with each other, and after the first round a pair meets in one bucket only.
-    A group of n sets whose similarities lie on both sides of 0.8 still takes as many
-    comparisons as it has pairs that no chain of links connects.
+    The distances to the first head spare most of the later comparisons: 1 minus the Jaccard
+    similarity obeys the triangle inequality, so that two sets whose distances to the head
+    differ by over 0.2 have a similarity under 0.8. A group of n sets whose similarities lie
+    on both sides of 0.8 takes as many comparisons as it has pairs that neither that nor a
+    chain of links decides.
     """
     heads = nodes.groupBy("w0").agg(F.min("node").alias("head"), F.count("*").alias("n"))
     heads = staged(heads, "heads")
@@ -254,9 +263,9 @@ def near_roots(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     reps = nodes.join(ends, "node").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
     own = texts.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
     sets = staged(shingle_sets(own.dropDuplicates(["node"]), words), "sets")
-    found = staged(similar(first, sets), "links")
+    found = staged(similar(compared(first, sets)), "links")
     roots, heads_each = None, 1
-    live = live.withColumn("root", F.col("node"))
+    live = live.select("key", "node", F.col("node").alias("root"), F.lit(None).cast("double").alias("far"))
     marked = nodes.select("node", "sigs")
     while True:
         if found.limit(1).count():
@@ -269,23 +278,31 @@ def near_roots(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 further = roots.join(moved, roots["root"] == moved["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
                 more = moved.join(roots, moved["old"] == roots["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
                 roots = staged(further.union(more), "roots")
-            live = live.join(moved, live["root"] == moved["old"], "left").select("key", "node", F.coalesce("new", "root").alias("root"))
+            live = live.join(moved, live["root"] == moved["old"], "left").select("key", "node", F.coalesce("new", "root").alias("root"), "far")
         several = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         live = staged(live.join(several, "key"), "rest")
         if live.limit(1).count() == 0:
             return found.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots  # without any roots no round found a link
         part = F.pmod(F.xxhash64("node"), F.lit(heads_each))
-        chosen = staged(live.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("head")).select("key", F.col("head.node").alias("head"), F.col("head.root").alias("head_root")), "heads")
+        chosen = staged(live.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root", "far")).alias("head")).select("key", F.col("head.node").alias("head"), F.col("head.root").alias("head_root"), F.col("head.far").alias("head_far")), "heads")
         members, by_key = live, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("head_root"))
         heads = chosen.withColumnRenamed("key", "_key")
         if heads_each > 1:  # a pair is compared in the first bucket that it shares
             members = members.join(marked, "node")
             heads = heads.join(marked.select(F.col("node").alias("head"), F.col("sigs").alias("head_sigs")), "head")
             by_key &= F.array_min(F.array_intersect("sigs", "head_sigs")) == F.col("key")
-        star = members.join(heads, by_key).select(F.col("head").alias("a"), F.col("node").alias("b"))
-        found = staged(similar(_ordered(star), sets), "links")
+            by_key &= F.coalesce(F.abs(F.col("far") - F.col("head_far")) <= MOST_FAR, F.lit(True))
+        star = members.join(heads, by_key).select("key", F.col("head").alias("a"), F.col("node").alias("b"))
+        if heads_each == 1:
+            star = staged(star, "star")
+        tried = staged(compared(_ordered(star), sets), "compared")
+        found = staged(similar(tried), "links")
         taken = chosen.select(F.col("key").alias("_key"), "head")
-        live = live.join(taken, (F.col("key") == F.col("_key")) & (F.col("node") == F.col("head")), "left_anti").select("key", "node", "root")
+        live = live.join(taken, (F.col("key") == F.col("_key")) & (F.col("node") == F.col("head")), "left_anti").select("key", "node", "root", "far")
+        if heads_each == 1:
+            shared = F.col("common") / F.greatest(F.col("sum") - F.col("common"), F.lit(1))
+            ways = star.select("key", F.col("b").alias("node"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried.select("a", "b", (1 - shared).alias("way")), ["a", "b"]).select("key", "node", "way")
+            live = staged(live.join(ways, ["key", "node"], "left").select("key", "node", "root", F.col("way").alias("far")), "far")
         heads_each *= 16
 
 
