@@ -23,8 +23,8 @@ EVENT_VOCABULARY = ("PushEvent", "IssuesEvent", "PullRequestEvent", "ReleaseEven
 
 
 def as_of(f: Frames) -> DataFrame:
-    """Commits, actors and last day of each repository up to the cutoff day; later commits do not exist for it."""
-    rows = f.scoped.where(F.col("local_day") <= F.lit(AS_OF).cast("date"))
+    """Commits, actors and last day of each repository up to the cutoff day, by the UTC clock; later commits do not exist for it."""
+    rows = f.scoped.where(F.col("author_sec") < (F.unix_date(F.lit(AS_OF).cast("date")).cast("long") + 1) * 86_400)
     return rows.groupBy("repo").agg(F.count("*").alias("commits"), F.countDistinct("actor").alias("actors"), F.max("local_day").cast("string").alias("last_day"))
 
 
