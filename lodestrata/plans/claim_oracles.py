@@ -1,10 +1,10 @@
-"""DuckDB SQL of the measures in operators/claims.py, operators/chains.py and of the coverage gate."""
+"""DuckDB SQL of the measures in operators/claims.py, operators/chains.py, operators/registers.py and of the coverage gate."""
 
 from __future__ import annotations
 
 from ..functions import rules as R
 from .oracles import COMMITS, LIFECYCLE, ORACLES as BASE
-from .oracles import ratio
+from .oracles import TAGS, ratio
 
 
 def _from(name: str) -> str:
@@ -68,7 +68,21 @@ forks AS (SELECT previous, count(*) AS after FROM ev WHERE kind <> 'issue_linked
 #: A repeated record counts once more than it should.
 _HALF = {"record_ids_are_unique": " // 2"}
 
+
+
+def _tree(rows: str) -> str:
+    """CTEs m (repo, members, digest) over a query of distinct (repo, x)."""
+    fold = "SELECT repo, {p} AS place, sha256(string_agg(d, ',' ORDER BY {o}place, d)) AS d, CAST(sum(n) AS BIGINT) AS n FROM {t} GROUP BY 1, 2"
+    return f"""l0 AS (SELECT repo, sha256(x) AS d, sha256(x) AS place, 1 AS n FROM ({rows})), l1 AS ({fold.format(p='substr(l0.place, 1, 6)', o='l0.', t='l0')}),
+l2 AS ({fold.format(p='substr(l1.place, 1, 3)', o='l1.', t='l1')}), m AS (SELECT repo, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(d, ',' ORDER BY place, d)) AS digest FROM l2 GROUP BY 1)"""
+
+
 ORACLES = {
+    "src09_tag_digests": f"WITH {COMMITS}, {TAGS}, {_tree("SELECT DISTINCT repo, 'v:' || tag_sec || ':' || sha AS x FROM tags")} SELECT repo, members, digest FROM m",
+    "fn41_scope_digests": f"WITH {COMMITS}, n AS (SELECT repo, sha, row_number() OVER (PARTITION BY repo ORDER BY local_day, sha) AS k FROM commits), {_tree('SELECT repo, CAST(sha AS VARCHAR) AS x FROM n WHERE k = 1')} SELECT repo, members AS roots, sha256('scope:' || repo || ':' || digest) AS digest FROM m",
+    "src30_register": """WITH d AS (
+  SELECT CASE page_id % 20 WHEN 3 THEN 'missing' WHEN 4 THEN 'changed' ELSE 'extra' END AS kind, url || CASE WHEN page_id % 20 = 5 THEN '.bak' ELSE '' END AS path FROM pages WHERE page_id % 20 IN (3, 4, 5))
+SELECT kind, count(*) AS n, min(path) AS first_path FROM d GROUP BY 1""",
     "val07_constraints": CLAIMS + " UNION ALL ".join(f"""SELECT '{name}' AS "constraint", '{table}' AS "table", count(*){_HALF.get(name, '')} AS violations FROM {rows} WHERE {broken}""" for name, (table, rows, broken) in _CHECKS.items()),
     "jn13_chain_faults": f"""WITH RECURSIVE {TRACKED},
 x AS (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import chains, claims, commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio
+from ..operators import chains, claims, commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio, registers
 from . import claim_oracles, gate_oracles, graph_oracles, oracles
 from .surrogate import Frames
 
@@ -85,6 +85,7 @@ _MEASURES: dict[str, Callable[[Frames], DataFrame]] = {
     **evidence.MEASURES,
     **identity.MEASURES,
     **lineage.MEASURES,
+    **registers.MEASURES,
 }
 
 
