@@ -83,7 +83,7 @@ def actor_measurements(f: Frames) -> DataFrame:
     """Masked actors of a repository: commits, merges and others, and whether the rows add up to the population."""
     rows = f.human.groupBy("repo", F.sha2(F.concat(F.lit("actor:"), F.col("actor")), 256).alias("mask")).agg(F.count("*").alias("commits"), F.count_if("is_merge").alias("merges"), F.count_if(~F.col("is_merge")).alias("nonmerges"))
     whole = rows.groupBy("repo").agg(F.sum("commits").alias("total"), F.count("*").alias("actors"))
-    population = f.human.groupBy("repo").agg(F.count("*").alias("population"))
+    population = commits.population(f).select("repo", (F.col("human_merges") + F.col("human_nonmerge")).alias("population"))
     out = rows.join(whole, "repo").join(population, "repo")
     return out.select("repo", "mask", "commits", "merges", "nonmerges", "actors", (F.col("merges") + F.col("nonmerges") == F.col("commits")).alias("adds_up"), (F.col("total") == F.col("population")).alias("complete"))
 

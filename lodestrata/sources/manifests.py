@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 
 import pandas as pd
@@ -46,7 +47,8 @@ def _toml_names(bodies: pd.Series) -> pd.Series:
         listed = [*project.get("dependencies", []), *(d for group in (project.get("optional-dependencies") or {}).values() for d in group)]
         tables = [tree.get(t) or {} for t in ("dependencies", "dev-dependencies", "build-dependencies")]
         poetry = ((tree.get("tool") or {}).get("poetry") or {}).get("dependencies") or {}
-        names = [pd.Series([d]).str.extract(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)")[0][0] for d in listed if isinstance(d, str)]
+        heads = [re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)", d) for d in listed if isinstance(d, str)]
+        names = [m[1] for m in heads if m]
         names += [k for t in (*tables, poetry) for k in t if k != "python"]
         return sorted({str(n) for n in names if isinstance(n, str)})
 
