@@ -1,4 +1,4 @@
-"""DuckDB SQL of the measures in operators/claims.py, operators/chains.py, operators/registers.py and of the coverage gate."""
+"""DuckDB SQL of the measures in operators/claims.py, operators/chains.py, operators/registers.py, operators/roles.py and of the coverage gate."""
 
 from __future__ import annotations
 
@@ -77,7 +77,25 @@ def _tree(rows: str) -> str:
 l2 AS ({fold.format(p='substr(l1.place, 1, 3)', o='l1.', t='l1')}), m AS (SELECT repo, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(d, ',' ORDER BY place, d)) AS digest FROM l2 GROUP BY 1)"""
 
 
+ROLES = """
+s AS (
+  SELECT c_custkey, c_mktsegment AS seg, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS p1, count(*) FILTER (o_orderpriority = '2-HIGH') AS p2, count(*) FILTER (o_orderpriority = '3-MEDIUM') AS p3, count(*) FILTER (o_orderpriority = '4-NOT SPECIFIED') AS p4,
+    count(*) FILTER (o_orderpriority = '5-LOW') AS p5, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+t AS (
+  SELECT CASE seg WHEN 'AUTOMOBILE' THEN 'Backend' WHEN 'BUILDING' THEN 'Frontend' WHEN 'FURNITURE' THEN 'Mobile' WHEN 'HOUSEHOLD' THEN 'DevOps' ELSE 'DataScientist' END AS truth,
+    [100 * (p1 + p5 + f), 100 * (p2 + o) + 7 * n, 18 * n + 7 * n, 100 * p3, 100 * (p4 + p)] AS scores FROM s),
+pr AS (SELECT truth, ['Backend', 'Frontend', 'Mobile', 'DevOps', 'DataScientist'][list_position(scores, list_max(scores))] AS pred FROM t),
+l AS (SELECT unnest(['Backend', 'Frontend', 'Mobile', 'DevOps', 'DataScientist']) AS label),
+cells AS (SELECT a.label AS truth, b.label AS pred, (SELECT count(*) FROM pr WHERE pr.truth = a.label AND pr.pred = b.label) AS n FROM l a, l b)"""
+
 ORACLES = {
+    "agg37_confusion": f"WITH {ROLES} SELECT * FROM cells",
+    "agg37_averages": f"""WITH {ROLES},
+k AS (SELECT label, sum(n) FILTER (truth = label) AS support, sum(n) FILTER (pred = label) AS given, sum(n) FILTER (truth = label AND pred = label) AS tp FROM l, cells GROUP BY 1),
+e AS (SELECT support, tp, coalesce(tp / nullif(given, 0), 0) AS p, coalesce(tp / nullif(support, 0), 0) AS r FROM k),
+z AS (SELECT support, tp, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM e)
+SELECT CAST(sum(support) AS BIGINT) AS sample_size, {ratio('sum(tp)', 'sum(support)')} AS accuracy, {', '.join(f"round(avg({x}), 4) AS macro_{x}, round(sum({x} * support) / sum(support), 4) AS weighted_{x}" for x in ('precision', 'recall', 'f1'))} FROM z""",
     "src09_tag_digests": f"WITH {COMMITS}, {TAGS}, {_tree("SELECT DISTINCT repo, 'v:' || tag_sec || ':' || sha AS x FROM tags")} SELECT repo, members, digest FROM m",
     "fn41_scope_digests": f"WITH {COMMITS}, n AS (SELECT repo, sha, row_number() OVER (PARTITION BY repo ORDER BY local_day, sha) AS k FROM commits), {_tree('SELECT repo, CAST(sha AS VARCHAR) AS x FROM n WHERE k = 1')} SELECT repo, members AS roots, sha256('scope:' || repo || ':' || digest) AS digest FROM m",
     "src30_register": """WITH d AS (

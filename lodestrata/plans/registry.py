@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import chains, claims, commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio, registers
+from ..operators import chains, claims, commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio, registers, roles
 from . import claim_oracles, gate_oracles, graph_oracles, oracles
 from .surrogate import Frames
 
@@ -86,6 +86,7 @@ _MEASURES: dict[str, Callable[[Frames], DataFrame]] = {
     **identity.MEASURES,
     **lineage.MEASURES,
     **registers.MEASURES,
+    **roles.MEASURES,
 }
 
 
