@@ -26,6 +26,16 @@ def with_previous(df: DataFrame, keys: list[str], bucket: Column, order: list[st
     return out.select(*df.columns, *(F.col("_previous")[c].alias(new) for c, new in values.items()))
 
 
+def running_max(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the largest `value` of the rows up to and with this one; buckets as in with_previous."""
+    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tops = rows.groupBy(*keys, "_bucket").agg(F.max("_value").alias("_top"))
+    before = tops.select(*keys, "_bucket", F.max("_top").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    joined = rows.withColumn("_inside", F.max("_value").over(inside)).join(before, [*keys, "_bucket"])
+    return joined.select(*df.columns, F.greatest("_inside", "_before").alias(name))
+
+
 def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
     """df with the sum of `value` over the rows up to and with this one; buckets as in with_previous."""
     rows = df.withColumn("_bucket", bucket).withColumn("_value", value)

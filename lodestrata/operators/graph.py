@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.ordering import with_previous
 from ..plans.surrogate import Frames
 from ..sources.staging import staged
+from . import topology
 
 
 def parents(f: Frames) -> DataFrame:
-    """(sha, parent): the same customer's order before, so that each customer has a line of commits."""
-    before = F.lag("sha").over(Window.partitionBy("customer").orderBy("local_day", "sha"))
-    return f.commits.select("sha", before.alias("parent")).where("parent IS NOT NULL")
+    """(sha, n, parent): the same customer's order before, so that each customer has a line of commits."""
+    rows = with_previous(f.commits.select("customer", "sha", "local_day"), ["customer"], F.trunc("local_day", "month"), ["local_day", "sha"], {"sha": "parent"})
+    return rows.select("sha", F.lit(0).alias("n"), "parent").where("parent IS NOT NULL")
 
 
 def descendants(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -32,23 +34,33 @@ def descendants(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def reachability(f: Frames) -> DataFrame:
-    """How many commits each release reaches."""
-    reached = descendants(staged(parents(f), "edges"), f.tags)
-    return reached.groupBy(F.col("target").alias("sha")).agg(F.count("*").alias("descendants"))
+    """How many commits each release reaches: one range of each chain, and no pairs."""
+    edges = staged(parents(f), "edges")
+    where = topology.place(f.commits, edges)
+    reached = topology.descendants(f.tags, where, topology.crossings(where, edges))
+    ends = where.groupBy("chain").agg(F.max("depth").alias("bottom"))
+    return reached.join(ends, "chain").groupBy(F.col("target").alias("sha")).agg(F.sum(F.col("bottom") + F.col("level") + 1).alias("descendants"))
 
 
 def post_release_fixes(f: Frames) -> DataFrame:
     """Corrective commits within 30 days of a release that they descend from, by repository.
 
     The interval comes first: releases and fixes meet by repository and by blocks of 30
-    days, so that only few pairs are looked up in the reachable commits.
+    days. What a release reaches is followed up to its last such fix, as the corrected times tell.
     """
     width = rules.RELEASE_DAYS * 86400
     tags = f.tags.select("repo", F.col("sha").alias("target"), "tag_sec").withColumn("block", F.explode(F.array(F.floor(F.col("tag_sec") / width), F.floor(F.col("tag_sec") / width) + 1)))
     fixes = f.scoped.where(rules.is_corrective(F.col("subject"))).select("repo", "sha", "author_sec", F.floor(F.col("author_sec") / width).alias("block"))
+    edges = staged(parents(f), "edges")
+    where = topology.place(f.commits, edges)
+    cross = topology.crossings(where, edges)
+    times = topology.corrected_times(f.commits, where, cross)
     near = fixes.join(tags, ["repo", "block"]).where((F.col("author_sec") >= F.col("tag_sec")) & (F.col("author_sec") <= F.col("tag_sec") + width)).select("repo", "target", "sha")
-    reached = descendants(staged(parents(f), "edges"), f.tags)
-    hits = near.join(reached, ["target", "sha"], "left_semi").select("repo", "sha").distinct().groupBy("repo").agg(F.count("*").alias("fixes"))
+    near = staged(near.join(times, "sha").join(where.select("sha", "chain", "depth"), "sha"), "near")
+    targets = near.groupBy(F.col("target").alias("sha")).agg(F.max("corrected").alias("until"))
+    reached = topology.descendants(targets, where, cross, times)
+    found = near.join(reached, ["target", "chain"]).where(F.col("depth") >= -F.col("level"))
+    hits = found.select("repo", "sha").distinct().groupBy("repo").agg(F.count("*").alias("fixes"))
     return f.heads.select("repo").join(hits, "repo", "left").select("repo", F.coalesce("fixes", F.lit(0)).alias("fixes"))
 
 

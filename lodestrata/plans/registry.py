@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import chains, claims, commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio, registers, roles
-from . import claim_oracles, gate_oracles, graph_oracles, oracles
+from ..operators import chains, claims, commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio, registers, roles, topology
+from . import claim_oracles, gate_oracles, graph_oracles, oracles, topology_oracles
 from .surrogate import Frames
 
 _MEASURES: dict[str, Callable[[Frames], DataFrame]] = {
@@ -87,6 +87,7 @@ _MEASURES: dict[str, Callable[[Frames], DataFrame]] = {
     **lineage.MEASURES,
     **registers.MEASURES,
     **roles.MEASURES,
+    **topology.MEASURES,
 }
 
 
@@ -94,7 +95,7 @@ def _over(measure: Callable[[Frames], DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, sf_dir: measure(Frames(spark, sf_dir))
 
 
-ORACLES = oracles.ORACLES | gate_oracles.ORACLES | graph_oracles.ORACLES | claim_oracles.ORACLES
+ORACLES = oracles.ORACLES | gate_oracles.ORACLES | graph_oracles.ORACLES | claim_oracles.ORACLES | topology_oracles.ORACLES
 
 QUERIES = {name: _over(m) for name, m in _MEASURES.items()}
 
