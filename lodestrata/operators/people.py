@@ -43,6 +43,12 @@ def _evidence(f: Frames) -> tuple[DataFrame, DataFrame]:
     return f.human.select("repo", "sha", F.col("customer").alias("actor"), (F.col("customer") % 5).alias("slot")), supplier
 
 
+def recorded_accounts(f: Frames) -> DataFrame:
+    """sha and account: a row for each account that a commit was seen with."""
+    seen, accounts = _evidence(f)
+    return seen.join(accounts, ["repo", "slot"]).select("sha", "account")
+
+
 def account_joins(f: Frames) -> DataFrame:
     """Commits with no, one or several accounts, and accounts claimed by several actors, by repository.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import chains, claims, commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio, registers, roles, topology
+from ..operators import accounts, chains, claims, commits, compare, events, evidence, gates, graph, identity, lineage, paths, people, portfolio, registers, roles, topology
 from . import claim_oracles, gate_oracles, graph_oracles, oracles, topology_oracles
 from .surrogate import Frames
 
@@ -80,6 +80,7 @@ _MEASURES: dict[str, Callable[[Frames], DataFrame]] = {
     "val07_bounds": portfolio.value_bounds,
     "val09_leak_guard": portfolio.leak_guard,
     **gates.MEASURES,
+    **accounts.MEASURES,
     **chains.MEASURES,
     **claims.MEASURES,
     **evidence.MEASURES,
