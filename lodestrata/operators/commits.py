@@ -90,23 +90,33 @@ def rework(f: Frames) -> DataFrame:
     )
 
 
-def survival(f: Frames, most_files: int = 40, tau_days: float = 180.0) -> DataFrame:
+#: Source files, and those of them that are somebody else's or made by a tool (fixed values).
+SOURCE_FILES = r"\.(py|ts|tsx|js|jsx|go|rs|vue|svelte|astro|swift)$"
+NOT_SOURCE = r"node_modules/|vendor/|dist/|build/|\.min\.|generated"
+
+
+def line_survival(lines: DataFrame, heads: DataFrame, most_files: int = 40, tau_days: float = 180.0) -> DataFrame:
     """Mean decay of line ages in an evenly spaced sample of a repository's source files.
 
+    `lines` has repo, path and author_sec of each surviving line, `heads` repo and head_sec.
     The sample is the feature: every k-th file in name order, `most_files` at most.
     """
-    source = f.changes.where(F.col("path").rlike(r"\.(py|ts|tsx|js|jsx|go|rs|vue|svelte|astro|swift)$") & ~F.col("path").rlike(r"node_modules/|vendor/|dist/|build/|\.min\.|generated"))
-    lines = source.join(f.scoped.select("repo", "sha", "author_sec"), "sha")
+    lines = lines.where(F.col("path").rlike(SOURCE_FILES) & ~F.col("path").rlike(NOT_SOURCE))
     files = lines.groupBy("repo", "path").agg(F.count("*").alias("lines"))
     ranked = files.select("repo", "path", F.row_number().over(Window.partitionBy("repo").orderBy("path")).alias("rn"), F.count("*").over(Window.partitionBy("repo")).alias("source_files"))
     step = F.greatest(F.lit(1), F.floor(F.col("source_files") / most_files))
     sample = ranked.where(((F.col("rn") - 1) % step == 0) & (F.floor((F.col("rn") - 1) / step) < most_files))
-    heads = f.commits.groupBy("repo").agg(F.max("author_sec").alias("head_sec"))
-    aged = lines.join(sample, ["repo", "path"]).join(F.broadcast(heads), "repo")
+    aged = lines.join(sample, ["repo", "path"]).join(heads, "repo")
     decay = F.exp(-F.greatest(F.lit(0), F.col("head_sec") - F.col("author_sec")) / F.lit(tau_days * 86400))
     return aged.groupBy("repo").agg(F.countDistinct("path").alias("files_sampled"), F.max("source_files").alias("source_files"), F.count("*").alias("lines_sampled"), rounded(F.avg(decay)).alias("survival_index"))
 
 
+def survival(f: Frames, most_files: int = 40, tau_days: float = 180.0) -> DataFrame:
+    """`line_survival` with each touch of a path as a line."""
+    lines = f.changes.join(f.scoped.select("repo", "sha", "author_sec"), "sha")
+    return line_survival(lines, f.commits.groupBy("repo").agg(F.max("author_sec").alias("head_sec")), most_files, tau_days)
+
+
 def rhythm(f: Frames, keys: tuple[str, ...] = ("repo",)) -> DataFrame:
     """Gaps between commits in the closed window of 180 days before a repository's last day."""
     rows = f.scoped.join(F.broadcast(f.heads), "repo")
