@@ -23,16 +23,13 @@ from .common import broadcast_if, documents, held_out, map_batches, staged
 
 #: Labelled documents of each language that the model is fitted on at most, by the hash of their ids.
 SAMPLE_PER_LANGUAGE = 400
-#: Words and n-grams of the model at most, the most frequent ones.
-MODEL_WORDS, MODEL_GRAMS = 60_000, 40_000
+#: Words and n-grams that each language brings into the model at most, its most frequent ones; shares are of all that were counted.
+WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE = 50_000, 20_000
 LONGEST = 4
 #: Up to so many ids of the sample are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 16
 MEMO_WORDS = 150_000
 
-#: (language, word) pairs that the driver takes, the most frequent ones.
-MODEL_PAIRS = 400_000
-
 _WORD, _ASCII_WORD = regex.compile(r"\p{L}+"), re.compile("[a-z]+")
 
 
@@ -98,20 +95,23 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return fit_counts(by)
 
 
-def fit_counts(by: dict[str, Counter]) -> Model:
-    """A model of the word counts of each language."""
+def fit_counts(by: dict[str, Counter], totals: dict[str, int] | None = None) -> Model:
+    """A model of the word counts of each language; `totals` are those of all its words, if some were left out of `by`.
+
+    What a language brings in is up to its own counts alone, so that one with few documents
+    keeps its words beside one with many. n-grams are those of the words that came in.
+    """
     languages = sorted(by)
     if not languages:
         return Model([], {}, {}, np.zeros(0))
 
-    def table(counts: list[Counter], most: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        total = sum(counts, Counter())
-        keys = sorted(total, key=lambda k: (-total[k], k))[:most]
-        sums = np.array([max(1, sum(c.values())) for c in counts], float)
-        values = (np.array([[c[k] for c in counts] for k in keys], float).reshape(-1, len(counts)) + 0.1) / (sums + 0.1 * (len(keys) + 1))
-        return dict(zip(keys, np.log(values))), np.log(0.1 / (sums + 0.1 * (len(keys) + 1)))
+    def table(counts: list[Counter], most: int, sums: list[int]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        keys = sorted({k for c in counts for k in sorted(c, key=lambda k: (-c[k], k))[:most]})
+        whole = np.maximum(1, np.array(sums, float)) + 0.1 * (len(keys) + 1)
+        values = (np.array([[c[k] for c in counts] for k in keys], float).reshape(-1, len(counts)) + 0.1) / whole
+        return dict(zip(keys, np.log(values))), np.log(0.1 / whole)
 
-    words, _ = table([by[lang] for lang in languages], MODEL_WORDS)
+    words, _ = table([by[lang] for lang in languages], WORDS_PER_LANGUAGE, [(totals or {}).get(lang, sum(by[lang].values())) for lang in languages])
     grams = []
     for lang in languages:
         own: Counter = Counter()
@@ -121,7 +121,7 @@ def fit_counts(by: dict[str, Counter]) -> Model:
                 for at in range(len(marked) - size + 1):
                     own[marked[at : at + size]] += min(n, 5)
         grams.append(own)
-    tables, unknown = table(grams, MODEL_GRAMS)
+    tables, unknown = table(grams, GRAMS_PER_LANGUAGE, [sum(c.values()) for c in grams])
     return Model(languages, words, tables, unknown)
 
 
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Repeated rows and null ids are kept; an empty table gives an empty result.
     """
     texts = documents(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS_PER_LANGUAGE and GRAMS_PER_LANGUAGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memo = shared.value, {}
@@ -166,9 +166,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def trained(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on the bounded sample; texts are taken whole, and only their word counts, MODEL_PAIRS at most, go to the driver."""
+    """Fit on the bounded sample, its texts taken whole, however long.
+
+    Counts stay on Spark; WORDS_PER_LANGUAGE of each language, and the sums over all of
+    its words, go to the driver. A table without labelled rows gives a model without languages.
+    """
     counts = staged(word_counts(training_sample(docs, lang_col, id_col, text_col, per_language)), "word_counts")
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
     by: dict[str, Counter] = {}
-    for r in counts.orderBy(F.desc("n"), "word", "lang").limit(MODEL_PAIRS).collect():
+    for r in ranked.where(F.col("place") <= WORDS_PER_LANGUAGE).collect():
         by.setdefault(r.lang, Counter())[r.word] = r.n
-    return fit_counts(by)
+    return fit_counts(by, totals)
