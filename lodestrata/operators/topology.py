@@ -45,13 +45,14 @@ def corrected_times(commits: DataFrame, where: DataFrame, cross: DataFrame) -> D
 
     start = where.select("sha", "chain", "depth").join(commits.select("sha", F.col("author_sec").alias("value")), "sha").withColumn("moved", F.lit(True))
     here = staged(settled(start), "corrected")
-    while True:
+    while not cross.isEmpty():
         lifts = cross.select("sha", "parent").join(here.select(F.col("sha").alias("parent"), "corrected"), "parent").groupBy("sha").agg((F.max("corrected") + 1).alias("least"))
         moved = F.coalesce(F.col("least") > F.col("corrected"), F.lit(False))
         raised = here.drop("moved").join(lifts, "sha", "left").select("sha", "chain", "depth", F.greatest("corrected", "least").alias("value"), moved.alias("moved"))
         here, left = staged_count(settled(raised), "corrected", F.col("moved"))
         if not left:
-            return here.select("sha", "corrected")
+            break
+    return here.select("sha", "corrected")
 
 
 def topological(commits: DataFrame, parents: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def reach(starts: DataFrame, steps: DataFrame) -> DataFrame:
     are new go on to the next round.
     """
     state = staged(starts.groupBy("target", "until", "chain").agg(F.max("level").alias("level")).withColumn("under", F.lit(_LEAST)), "reach")
-    while True:
+    while not steps.isEmpty():
         front = state.where("level > under").select("target", "until", "chain", F.col("level").alias("high"), "under")
         met = front.join(steps, "chain").where((F.col("level") <= F.col("high")) & (F.col("level") > F.col("under")) & (F.col("stamp") <= F.col("until")))
         gained = met.groupBy("target", "until", F.col("to_chain").alias("chain")).agg(F.max("to_level").alias("gain"))
@@ -80,7 +81,8 @@ def reach(starts: DataFrame, steps: DataFrame) -> DataFrame:
         merged = state.drop("under").join(gained, ["target", "until", "chain"], "full").select("target", "until", "chain", F.greatest("level", "gain").alias("level"), held.alias("under"))
         state, left = staged_count(merged, "reach", F.col("level") > F.col("under"))
         if not left:
-            return state.select("target", "chain", "level")
+            break
+    return state.select("target", "chain", "level")
 
 
 def ancestors(targets: DataFrame, where: DataFrame, cross: DataFrame) -> DataFrame:
