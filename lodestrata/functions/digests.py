@@ -25,20 +25,23 @@ def set_digest(df: DataFrame, keys: list[str], member: Column) -> DataFrame:
     return rows.select(*keys, F.col("n").alias("members"), F.col("d").alias("digest"))
 
 
-def register_difference(registered: DataFrame, present: DataFrame) -> DataFrame:
-    """path and kind (missing, extra, changed) of each file (path, digest, bytes) that a register and what is there differ in.
+def register_difference(registered: DataFrame, present: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """keys and kind (missing, extra, changed) of each file (keys, digest, bytes) that a register and what is there differ in.
 
-    A path that one side has more than once counts as changed unless all its digests agree.
+    A file that one side has more than once counts as changed unless all its digests agree.
+    Where a path isn't unique, `keys` has what tells its files apart. Null keys equal each other.
     """
 
     def one(df: DataFrame, side: str) -> DataFrame:
         same = (F.min("digest") == F.max("digest")) & (F.min("bytes") == F.max("bytes"))
-        return df.groupBy("path").agg(F.when(same, F.struct(F.min("digest").alias("digest"), F.min("bytes").alias("bytes"))).alias(side), F.lit(True).alias(f"in_{side}"))
+        named = df.select(*(F.col(k).alias(f"{side}_{k}") for k in keys), "digest", "bytes")
+        return named.groupBy(*(f"{side}_{k}" for k in keys)).agg(F.when(same, F.struct(F.min("digest").alias("digest"), F.min("bytes").alias("bytes"))).alias(side), F.lit(True).alias(f"in_{side}"))
 
-    both = one(registered, "left").join(one(present, "right"), "path", "full")
+    met = [F.col(f"left_{k}").eqNullSafe(F.col(f"right_{k}")) for k in keys]
+    both = one(registered, "left").join(one(present, "right"), met, "full")
     equal = F.col("left").isNotNull() & (F.col("left") == F.col("right"))
     kind = F.when(F.col("in_right").isNull(), "missing").when(F.col("in_left").isNull(), "extra").when(~F.coalesce(equal, F.lit(False)), "changed")
-    return both.select("path", kind.alias("kind")).where("kind IS NOT NULL")
+    return both.select(*(F.coalesce(f"left_{k}", f"right_{k}").alias(k) for k in keys), kind.alias("kind")).where("kind IS NOT NULL")
 
 
 def files_of(files: DataFrame) -> DataFrame:

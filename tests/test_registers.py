@@ -2,9 +2,13 @@
 
 import hashlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lodestrata.functions.digests import LEVELS, files_of, register_difference, set_digest
+from lodestrata.operators.registers import register_counts
+from lodestrata.plans.registry import ORACLES
+from lodestrata.plans.surrogate import Frames
 
 
 def plain(members):
@@ -38,3 +42,13 @@ def test_register_of_files(spark, tmp_path):
     assert {(r.path, r.kind) for r in register_difference(registered, present).collect()} == {("changed", "changed"), ("missing", "missing"), ("extra", "extra")}
     twice = spark.createDataFrame([listed[0], ("same", "other", 1)], "path string, digest string, bytes long")
     assert [(r.path, r.kind) for r in register_difference(twice, present.where("path = 'same'")).collect()] == [("same", "changed")]
+
+
+def test_pages_that_share_an_address(spark, tmp_path):
+    # 2 is kept, 3 missing, 4 changed, 5 has a copy: all of them at one address, as are 24 and 25 at none
+    pages = [(n, "http://a.test/", f"<p>{n}</p>") for n in (2, 3, 4, 5, 23)] + [(6, "http://b.test/", "x"), (24, None, None), (25, None, "y")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.kind: (r.n, r.first_path) for r in register_counts(Frames(spark, str(tmp_path))).collect()}
+    duckdb.execute(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {k: (n, p) for k, n, p in duckdb.execute(ORACLES["src30_register"]).fetchall()}
+    assert got["missing"] == (2, "http://a.test/") and got["changed"] == (2, "http://a.test/") and got["extra"] == (2, "http://a.test/.bak")
