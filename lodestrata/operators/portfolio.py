@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.observe import ratio
+from ..functions.observe import ratio, rounded
 from ..plans.surrogate import Frames
 from . import commits, compare
 
@@ -84,5 +84,5 @@ def leak_guard(f: Frames) -> DataFrame:
 def value_bounds(f: Frames) -> DataFrame:
     """Rate rows that break an invariant: a numerator over its denominator, or a value that isn't their ratio."""
     rows = commits.test_cochange(f)
-    off = F.abs(F.col("rate") - F.round(F.col("cochanged") / F.col("population"), 4)) > 1e-12
+    off = F.abs(F.col("rate") - rounded(F.col("cochanged") / F.col("population"))) > 1e-12
     return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("cochanged") > F.col("population")).alias("over"), F.count_if(F.coalesce(off, F.lit(False))).alias("off"))

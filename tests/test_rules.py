@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,11 @@ def test_pseudonyms(spark):
     one, two, none = each(spark, lambda x: pseudonyms.pseudonym(x, key), ["x", "y", None])
     assert one != two and none is None and one.startswith("actor_") and len(one) == 32
     assert pseudonyms.scope_key(b"secret", "b") != key
+
+
+def test_shares_round_as_in_sql_where_the_digits_tie(spark):
+    ties = [(n, d) for d in (16, 800, 1600, 2000, 4000) for n in range(d + 1) if 20_000 * n % d == 0 and 20_000 * n // d % 2]
+    got = {(r.n, r.d): r.x for r in spark.createDataFrame(ties, "n long, d long").select("n", "d", observe.ratio(F.col("n"), F.col("d")).alias("x")).collect()}
+    con = duckdb.connect()
+    want = {(n, d): con.execute(f"SELECT round(CAST({n} AS DOUBLE) / {d}, 4)").fetchone()[0] for n, d in ties}
+    assert got == want and got[57, 800] == 0.0712
