@@ -18,20 +18,25 @@ SCHEMA = "project long, event_id long, position long, record_type string, record
 def roots(events: DataFrame) -> DataFrame:
     """event_id, root, depth and cyclic: where the chain of predecessors begins; null and cyclic if it runs in a circle.
 
-    The way doubles each round. A chain has no more steps than there are events, so that
-    after that many doublings whoever still moves on is in a circle or leads into one.
+    The way doubles each round, and only events that have not come to their root go on. An
+    event that is open after `reach` steps has all further events of its way open before it,
+    so that who moves on beyond `most` steps is in a circle or leads into one.
     """
+    asks = events.where("previous_event_id IS NOT NULL").select("event_id", "previous_event_id")
     known = events.select(F.col("event_id").alias("previous_event_id"), F.lit(True).alias("known"))
-    first = events.select("event_id", "previous_event_id").join(known, "previous_event_id", "left")
+    starts = events.where("previous_event_id IS NULL").select("event_id", F.col("event_id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("open"))
     step = F.when(F.col("known"), F.col("previous_event_id"))
-    here, left = staged_count(first.select("event_id", F.coalesce(step, "event_id").alias("root"), step.isNotNull().cast("long").alias("depth"), step.isNotNull().alias("open")), "steps", F.col("open"))
-    most = here.count()
-    while left and most:
-        to = here.select(F.col("event_id").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"), F.col("open").alias("on"))
-        here, left = staged_count(here.join(to, "root").select("event_id", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("on").alias("open")), "steps", F.col("open"))
-        most //= 2
-    ok = ~F.col("open")
-    return here.select("event_id", F.when(ok, F.col("root")).alias("root"), F.when(ok, F.col("depth")).alias("depth"), F.col("open").alias("cyclic"))
+    first = asks.join(known, "previous_event_id", "left").select("event_id", F.coalesce(step, "event_id").alias("root"), step.isNotNull().cast("long").alias("depth"), step.isNotNull().alias("open"))
+    here, left = staged_count(starts.unionByName(first), "steps", F.col("open"))
+    done, reach, most = here.where("NOT open"), 1, left
+    while left and reach <= most:
+        to = done.unionByName(here.where("open")).select(F.col("event_id").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"), F.col("open").alias("on"))
+        moved = here.where("open").join(to, "root").select("event_id", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("on").alias("open"))
+        here, left = staged_count(moved, "steps", F.col("open"))
+        done, reach = done.unionByName(here.where("NOT open")), reach * 2
+        most = min(most, reach + left - 1)
+    circles = here.where("open").select("event_id", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(True).alias("cyclic"))
+    return done.select("event_id", "root", "depth", F.lit(False).alias("cyclic")).unionByName(circles)
 
 
 def chain_faults(events: DataFrame) -> DataFrame:
@@ -39,14 +44,18 @@ def chain_faults(events: DataFrame) -> DataFrame:
 
     Predecessors and targets are met by id, and their position must be smaller. Every kind
     but the first ones needs a predecessor of its own record with the state that the event
-    names, and a duration that is the difference of the two times.
+    names, and a duration that is the difference of the two times. Only ids go to look for
+    them, and only events that name one; the events themselves wait for the answers.
     """
-    events = events.dropDuplicates(["event_id"])
-    names = ("position", "record_type", "record_id", "state", "sec", "kind")
-    before = events.select(F.col("event_id").alias("previous_event_id"), F.struct(*names).alias("p"))
-    target = events.select(F.col("event_id").alias("linked_event_id"), F.struct(*names).alias("t"))
-    forks = events.where("kind <> 'issue_linked'").groupBy("previous_event_id").agg(F.count("*").alias("after"))
-    rows = events.join(before, "previous_event_id", "left").join(target, "linked_event_id", "left").join(forks, "previous_event_id", "left").join(roots(events), "event_id")
+    events = staged(events.where("event_id IS NOT NULL").dropDuplicates(["event_id"]), "events")
+    asks = events.where("previous_event_id IS NOT NULL").select("event_id", "previous_event_id", (F.col("kind") != "issue_linked").alias("follows"))
+    before = events.select(F.col("event_id").alias("previous_event_id"), F.struct("position", "record_type", "record_id", "state", "sec").alias("p"))
+    forks = asks.where("follows").groupBy("previous_event_id").agg(F.count("*").alias("after"))
+    met = asks.join(before, "previous_event_id").join(forks, "previous_event_id", "left").select("event_id", "p", "after")
+    target = events.select(F.col("event_id").alias("linked_event_id"), F.struct("position", "record_type", "state").alias("t"))
+    links = events.where("kind = 'issue_linked' AND linked_event_id IS NOT NULL").select("event_id", "linked_event_id").join(target, "linked_event_id").select("event_id", "t")
+    circles = roots(events).where("cyclic").select("event_id", "cyclic")
+    rows = events.join(met, "event_id", "left").join(links, "event_id", "left").join(circles, "event_id", "left")
     c, first, linked = F.col, F.col("kind").isin(*FIRST_KINDS), F.col("kind") == "issue_linked"
     there, elapsed = c("p").isNotNull(), c("sec") - c("p.sec")
     same = c("p.record_type").eqNullSafe(c("record_type")) & c("p.record_id").eqNullSafe(c("record_id"))
@@ -73,9 +82,7 @@ def model_events(f: Frames) -> DataFrame:
     """SCHEMA rows of the model's issues, with milestones for its releases; some predecessors and durations are changed by fixed rules."""
     c, steps = F.col, {"issue_opened": 0, "issue_triaged": 1, "issue_closed": 2, "issue_linked": 3}
     number = F.create_map(*(F.lit(x) for kv in steps.items() for x in kv))
-    rows = f.tracker.withColumn("k", number[c("kind")]).select("project", "record_id", "kind", "state", "sec", "k", (c("record_id") * 4 + c("k")).alias("event_id"))
-    has = rows.groupBy("record_id").agg(*(F.max(F.when(c("k") == k, c("sec"))).alias(f"sec{k}") for k in (0, 1)))
-    rows = rows.join(has, "record_id")
+    rows = f.tracker.withColumn("k", number[c("kind")]).select("project", "record_id", "kind", "state", "sec", "k", (c("record_id") * 4 + c("k")).alias("event_id"), c("opened").alias("sec0"), c("triaged").alias("sec1"))
     r = c("record_id")
     to = F.when((c("k") == 2) & c("sec1").isNotNull() & (r % 127 != 0), 1).when(c("k") > 0, 0)
     previous = (
@@ -102,12 +109,12 @@ def model_events(f: Frames) -> DataFrame:
 
 def fault_counts(f: Frames) -> DataFrame:
     """How often each fault is found in each kind of event."""
-    return chain_faults(staged(model_events(f), "tracker")).groupBy("kind", "fault").agg(F.count("*").alias("n"), F.countDistinct("project").alias("projects"))
+    return chain_faults(model_events(f)).groupBy("kind", "fault").agg(F.count("*").alias("n"), F.countDistinct("project").alias("projects"))
 
 
 def chain_lengths(f: Frames) -> DataFrame:
     """Chains by their number of steps, and the events that lie in or before circles."""
-    events = staged(model_events(f), "tracker")
+    events = staged(model_events(f).select("event_id", "previous_event_id"), "tracker")
     return roots(events).groupBy("depth", "cyclic").agg(F.count("*").alias("events"), F.countDistinct("root").alias("chains"))
 
 

@@ -54,3 +54,14 @@ def test_long_chains_and_circles(spark):
     got = {r.event_id: (r.root, r.depth, r.cyclic) for r in chains.roots(spark.createDataFrame(rows, chains.SCHEMA)).collect()}
     assert all(got[n] == (0, n, False) for n in range(300)) and got[4000] == (4000, 0, False)
     assert all(got[n] == (None, None, True) for n in [*range(1000, 1007), 2000, 3000])
+
+
+def test_only_open_events_go_on(spark, monkeypatch):
+    # a circle keeps two events open; the thousand sound chains are told once and not written again
+    rows = [opened(10 * n, record=n) for n in range(1000)] + [event(10 * n + 1, previous=10 * n, duration=10.0, record=n) for n in range(1000)]
+    rows += [event(90_001, previous=90_002, duration=1.0), event(90_002, previous=90_001, duration=1.0)]
+    written, plain = [], chains.staged_count
+    monkeypatch.setattr(chains, "staged_count", lambda df, *a: written.append(df.count()) or plain(df, *a))
+    got = chains.roots(spark.createDataFrame(rows, chains.SCHEMA)).groupBy("depth", "cyclic").count().collect()
+    assert {(r.depth, r.cyclic): r["count"] for r in got} == {(0, False): 1000, (1, False): 1000, (None, True): 2}
+    assert written[:2] == [2002, 1002] and all(n == 2 for n in written[2:])
