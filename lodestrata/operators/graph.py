@@ -42,24 +42,32 @@ def reachability(f: Frames) -> DataFrame:
     return reached.join(ends, "chain").groupBy(F.col("target").alias("sha")).agg(F.sum(F.col("bottom") + F.col("level") + 1).alias("descendants"))
 
 
+def after_releases(placed: DataFrame, reached: DataFrame) -> DataFrame:
+    """The commits (chain, block, depth) with each release (chain, block, level) that reaches them and has their block."""
+    return placed.join(reached, ["chain", "block"]).where(F.col("depth") >= -F.col("level"))
+
+
 def post_release_fixes(f: Frames) -> DataFrame:
     """Corrective commits within 30 days of a release that they descend from, by repository.
 
-    The interval comes first: releases and fixes meet by repository and by blocks of 30
-    days. What a release reaches is followed up to its last such fix, as the corrected times tell.
+    Releases and fixes meet by chain and by blocks of 30 days, after the releases were
+    followed: pairs of one repository and time are not made. How far a release is followed
+    is the latest corrected time of the fixes in its two blocks.
     """
     width = rules.RELEASE_DAYS * 86400
-    tags = f.tags.select("repo", F.col("sha").alias("target"), "tag_sec").withColumn("block", F.explode(F.array(F.floor(F.col("tag_sec") / width), F.floor(F.col("tag_sec") / width) + 1)))
+    block = F.floor(F.col("tag_sec") / width)
+    tags = f.tags.select("repo", F.col("sha").alias("target"), "tag_sec", F.explode(F.array(block, block + 1)).alias("block"))
     fixes = f.scoped.where(rules.is_corrective(F.col("subject"))).select("repo", "sha", "author_sec", F.floor(F.col("author_sec") / width).alias("block"))
     edges = staged(parents(f), "edges")
     where = topology.place(f.commits, edges)
     cross = topology.crossings(where, edges)
     times = topology.corrected_times(f.commits, where, cross)
-    near = fixes.join(tags, ["repo", "block"]).where((F.col("author_sec") >= F.col("tag_sec")) & (F.col("author_sec") <= F.col("tag_sec") + width)).select("repo", "target", "sha")
-    near = staged(near.join(times, "sha").join(where.select("sha", "chain", "depth"), "sha"), "near")
-    targets = near.groupBy(F.col("target").alias("sha")).agg(F.max("corrected").alias("until"))
-    reached = topology.descendants(targets, where, cross, times)
-    found = near.join(reached, ["target", "chain"]).where(F.col("depth") >= -F.col("level"))
+    placed = staged(fixes.join(times, "sha").join(where.select("sha", "chain", "depth"), "sha"), "placed")
+    latest = placed.groupBy("repo", "block").agg(F.max("corrected").alias("until"))
+    targets = tags.join(latest, ["repo", "block"]).groupBy(F.col("target").alias("sha")).agg(F.max("until").alias("until"))
+    reached = topology.descendants(targets, where, cross, times).join(tags.select("target", "tag_sec", "block"), "target")
+    close = (F.col("author_sec") >= F.col("tag_sec")) & (F.col("author_sec") <= F.col("tag_sec") + width)
+    found = after_releases(placed, reached).where(close)
     hits = found.select("repo", "sha").distinct().groupBy("repo").agg(F.count("*").alias("fixes"))
     return f.heads.select("repo").join(hits, "repo", "left").select("repo", F.coalesce("fixes", F.lit(0)).alias("fixes"))
 
