@@ -20,6 +20,8 @@ from ..sources.staging import staged, staged_count
 
 #: Generations of a chain that are sorted together.
 BLOCK = 1024
+#: Up to so many open rows of a round are broadcast; more are joined by a shuffle.
+FEW_ROWS = 1 << 17
 
 
 def first_parents(commits: DataFrame, parents: DataFrame) -> DataFrame:
@@ -36,35 +38,47 @@ def first_parents(commits: DataFrame, parents: DataFrame) -> DataFrame:
 def follow(nodes: DataFrame) -> DataFrame:
     """id, root and last of each node of (id, next, mark): the end of its pointers, and the last marked node on the way, the end included.
 
-    Every round doubles the way; pointers must not run in a circle.
+    Every round doubles the way of those that are not yet at their end; pointers must not run in a circle.
     """
-    start = F.coalesce("next", "id")
-    here = staged(nodes.select("id", start.alias("root"), F.when(F.col("mark"), F.col("id")).alias("last")), "pointers")
-    while True:
-        to = here.select(F.col("id").alias("root"), F.col("root").alias("far"), F.col("last").alias("later"))
-        step = here.join(to, "root").select("id", F.col("far").alias("root"), F.coalesce("later", "last").alias("last"), (F.col("far") != F.col("root")).alias("moved"))
-        here, moved = staged_count(step, "pointers", F.col("moved"))
-        if not moved:
-            return here.drop("moved")
+    start = nodes.select("id", F.coalesce("next", "id").alias("root"), F.when(F.col("mark"), F.col("id")).alias("last"), F.col("next").isNull().alias("ended"))
+    here, left = staged_count(start, "pointers", ~F.col("ended"))
+    done = here.where("ended")
+    while left:
+        here = here.where("NOT ended")
+        to = here.union(done).select(F.col("id").alias("root"), F.col("root").alias("far"), F.col("last").alias("later"), F.col("ended").alias("over"))
+        step = _few(here, left).join(to, "root").select("id", F.col("far").alias("root"), F.coalesce("later", "last").alias("last"), F.col("over").alias("ended"))
+        here, left = staged_count(step, "pointers", ~F.col("ended"))
+        done = done.union(here.where("ended"))
+    return done.drop("ended")
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df.drop("ended")) if rows <= FEW_ROWS else df.drop("ended")
 
 
 def chains(first: DataFrame) -> DataFrame:
     """sha, chain (its uppermost commit), depth (commits before it) and up (the commit above the chain).
 
     A chain goes on with the child that has most descendants, so that the way from any
-    commit to its root changes chains a logarithmic number of times.
+    commit to its root changes chains a logarithmic number of times. Commits that have come to
+    their root leave the rounds, and only what they are given below them is kept for the sum.
     """
     open_ = F.col("far").isNotNull()
     reach, left = staged_count(first.select("sha", F.col("parent").alias("far"), F.col("parent").isNotNull().cast("long").alias("depth"), F.lit(1).cast("long").alias("size")), "reach", open_)
+    done, gains = reach.where(~open_).select("sha", "depth"), first.select("sha", F.lit(0).cast("long").alias("gain")).limit(0)
     while left:
-        gains = reach.where("far IS NOT NULL").groupBy(F.col("far").alias("sha")).agg(F.sum("size").alias("gain"))
-        to = reach.select(F.col("sha").alias("far"), F.col("far").alias("next"), F.col("depth").alias("more"))
-        step = reach.join(to, "far", "left").join(gains, "sha", "left")
-        step = step.select("sha", F.col("next").alias("far"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
+        reach = reach.where(open_)
+        gain = staged(reach.groupBy(F.col("far").alias("sha")).agg(F.sum("size").alias("gain")), "gain")
+        gains = gains.union(gain)
+        to = reach.select(F.col("sha").alias("far"), F.col("far").alias("next"), F.col("depth").alias("more")).union(done.select("sha", F.lit(None).cast(reach.schema["far"].dataType), "depth"))
+        step = _few(reach, left).join(to, "far").join(gain, "sha", "left")
+        step = step.select("sha", F.col("next").alias("far"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
         reach, left = staged_count(step, "reach", open_)
-    rows = first.join(reach.select("sha", "depth", "size"), "sha")
+        done = done.union(reach.where(~open_).select("sha", "depth"))
+    sizes = gains.groupBy("sha").agg(F.sum("gain").alias("size"))
+    rows = first.join(done, "sha").join(sizes, "sha", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     heavy = rows.where("parent IS NOT NULL").groupBy("parent").agg(F.max_by("sha", F.struct("size", "sha")).alias("sha")).withColumnRenamed("parent", "above")
-    rows = staged(rows.join(heavy, "sha", "left"), "rows")
+    rows = staged(rows.join(heavy, "sha", "left").drop("size"), "rows")
     heads = follow(rows.select(F.col("sha").alias("id"), F.col("above").alias("next"), F.lit(False).alias("mark"))).select(F.col("id").alias("sha"), F.col("root").alias("chain"))
     ups = rows.where("above IS NULL").select(F.col("sha").alias("chain"), F.col("parent").alias("up"))
     return rows.select("sha", "depth").join(heads, "sha").join(ups, "chain")

@@ -6,16 +6,18 @@ are held as (target, chain, depth) and never as pairs of commits. The graph has
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ordering import running_max, running_sum
 from ..plans.surrogate import Frames
 from ..sources.staging import staged, staged_count
-from .lineage import BLOCK, chains
+from .lineage import BLOCK, FEW_ROWS, chains
 
 #: Seconds of corrected time that are numbered together.
 SPAN = 30 * 86_400
+#: Rounds in which late clocks are carried on along single edges, before chains are built for those that go further.
+EDGE_ROUNDS = 8
 _LEAST = -(1 << 62)
 
 
@@ -55,11 +57,63 @@ def corrected_times(commits: DataFrame, where: DataFrame, cross: DataFrame) -> D
     return here.select("sha", "corrected")
 
 
+def lifted(timed: DataFrame, rounds: int = EDGE_ROUNDS) -> tuple[DataFrame, int, int]:
+    """(rows, most, left): sha and corrected of commits that are late, by how much at most, and how many the last round moved.
+
+    `timed` are the edges (sha, parent) with their ends' times `own` and `above`. A round takes
+    only the edges below commits that the round before moved, so that clocks that are late by
+    a few commits cost one pass over the edges and some small joins. If none is left, the
+    values are final.
+    """
+
+    def late(rows: DataFrame, time: str) -> tuple[DataFrame, int, int]:
+        seen = Observation()
+        moved = rows.where(F.col(time) >= F.col("own")).groupBy("sha").agg((F.max(time) + 1).alias("corrected"), F.max("own").alias("own"))
+        front = staged(moved.observe(seen, F.count("*").alias("n"), F.max(F.col("corrected") - F.col("own")).alias("most")), "lifted").drop("own")
+        return front, seen.get["n"], seen.get["most"] or 0
+
+    front, left, most = late(timed, "above")
+    every = front
+    for _ in range(rounds):
+        if not left:
+            break
+        moved = front.select(F.col("sha").alias("parent"), "corrected")
+        below = timed.select("sha", "parent", "own").join(F.broadcast(moved) if left <= FEW_ROWS else moved, "parent")
+        front, left, more = late(below, "corrected")
+        every, most = every.union(front), max(most, more)
+    return every.groupBy("sha").agg(F.max("corrected").alias("corrected")), most, left
+
+
+def settled_times(commits: DataFrame, parents: DataFrame) -> DataFrame:
+    """sha and corrected, as `corrected_times`, with chains only of commits that late clocks come to.
+
+    What goes further than some edges is carried on by chains of those edges that a clock
+    late by `reach` could pass. No clock may come out later than that, else `reach` grows.
+    """
+    own, above = (commits.select(F.col("sha").alias(c), F.col("author_sec").alias(t)) for c, t in (("sha", "own"), ("parent", "above")))
+    timed = staged(parents.select("sha", "n", "parent").join(own, "sha").join(above, "parent"), "timed")
+    late, most, left = lifted(timed)
+    corrected = F.coalesce("corrected", "author_sec")
+    reach = 0
+    while left:
+        reach = max(2 * most, 4 * reach)
+        near = staged(timed.where(F.col("own") - F.col("above") <= reach).select("sha", "n", "parent"), "near")
+        ends = near.select("sha").union(near.select("parent")).distinct()
+        some = staged(ends.join(commits, "sha").join(late, "sha", "left").select("sha", F.col("author_sec").alias("own"), corrected.alias("author_sec")), "some")
+        where = place(some, near)
+        times = corrected_times(some, where, crossings(where, near))
+        seen = Observation()
+        rows = some.select("sha", "own").join(times, "sha").observe(seen, F.max(F.col("corrected") - F.col("own")).alias("most"))
+        late = staged(rows, "late").drop("own")
+        most = seen.get["most"]
+        left = most > reach
+    return commits.join(late, "sha", "left").select("sha", corrected.alias("corrected"))
+
+
 def topological(commits: DataFrame, parents: DataFrame) -> DataFrame:
     """repo, sha, corrected and sequence (from 0): an order in which every commit follows all its parents; ties by sha."""
-    where = place(commits, parents)
-    times = corrected_times(commits, where, crossings(where, parents))
-    rows = commits.select("repo", "sha").join(times, "sha")
+    commits = staged(commits.select("repo", "sha", "author_sec"), "commits")
+    rows = commits.select("repo", "sha").join(settled_times(commits, parents), "sha")
     rows = running_sum(rows, ["repo"], F.floor(F.col("corrected") / SPAN), ["corrected", "sha"], F.lit(1).cast("long"), "n")
     return rows.select("repo", "sha", "corrected", (F.col("n") - 1).alias("sequence"))
 

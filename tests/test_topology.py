@@ -94,3 +94,16 @@ def test_lines_without_merges_and_unknown_parents(spark):
     got = topology.topological(commits, parents).orderBy("repo", "sequence").collect()
     assert [(r.repo, r.sha, r.corrected) for r in got] == [(1, 1, 50), (1, 2, 51), (1, 3, 52), (1, 4, 53), (1, 5, 54), (2, 9, 1)]
     assert topology.topological(commits.where("sha > 99"), parents).count() == 0
+
+
+def test_clocks_late_by_a_few_commits_need_no_chains(spark, monkeypatch):
+    """Runs of five late clocks in a line of commits with side branches: carried along edges, and the same as a walk."""
+    monkeypatch.setattr(topology, "place", lambda *_: pytest.fail("built chains"))
+    graph = {s: [p for p in (s - 1, s - 7) if p > 0 and (p == s - 1 or s % 3 == 0)] for s in range(1, 200)}
+    clocks = {s: s * 1000 + (4_500 if s % 20 == 0 else 0) for s in graph}
+    commits, parents, _ = frames(spark, graph, clocks, [(1, "a", "A", 1, 0)])
+    want = {}
+    for s, ps in graph.items():
+        want[s] = max([clocks[s], *(want[p] + 1 for p in ps)])
+    assert any(want[s] != clocks[s] for s in graph)
+    assert {r.sha: r.corrected for r in topology.topological(commits, parents).collect()} == want
