@@ -104,3 +104,21 @@ def test_renames_keep_and_copies_begin(spark):
     assert (got["alice"].creations, got["alice"].adopted, got["alice"].adopted_share) == (2, 1, 0.5)
     assert (got["bob"].edit_commits, got["bob"].cross_author) == (2, 1)  # the rename of alice's file, and the own copy
     assert (got["bob"].own_touches, got["bob"].returns, got["alice"].own_touches) == (1, 1, 0)
+
+
+def test_commits_at_their_root_leave_the_rounds(spark, monkeypatch):
+    """64 roots and a line of 8: after the first round of each loop only the line goes on, so that roots never meet in one task by a null."""
+    counts, plain = [], lineage.staged_count
+
+    def counted(df, name, condition):
+        out = plain(df, name, condition)
+        counts.append((name, out[0].count()))
+        return out
+
+    monkeypatch.setattr(lineage, "staged_count", counted)
+    first = spark.createDataFrame([(s, s - 1 if 1 < s <= 8 else None) for s in range(1, 73)], "sha long, parent long")
+    got = {r.sha: (r.chain, r.depth, r.up) for r in lineage.chains(first).collect()}
+    assert got == {s: (1, s - 1, None) if s <= 8 else (s, 0, None) for s in range(1, 73)}
+    for loop in ("reach", "pointers"):
+        rounds = [n for name, n in counts if name == loop]
+        assert rounds[0] == 72 and len(rounds) > 1 and max(rounds[1:]) <= 7
