@@ -119,3 +119,10 @@ def test_changes_are_classified_before_they_are_counted(spark, sf_dir, monkeypat
     assert "Aggregate [repo" in plan[generate:] and "family" in plan[generate:]
     plan = paths.verification(Frames(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert "bool_or" not in plan and "max((role" not in plan and "bit_or(mask" in plan
+
+
+def test_subjects_end_before_the_paths_of_their_commits(spark, sf_dir):
+    # what is sorted by path holds a flag of each subject, and the grouping by commit needs no sort
+    plan = commits.retouches(Frames(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    last = plan[: plan.index("Window")]
+    assert "subject" not in last and "corrective" in last
