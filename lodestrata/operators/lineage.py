@@ -57,7 +57,7 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def chains(first: DataFrame) -> DataFrame:
-    """sha, chain (its uppermost commit), depth (commits before it) and up (the commit above the chain).
+    """sha, chain (its uppermost commit), depth (commits before it), up (the commit above the chain) and top (the depth of its uppermost commit).
 
     A chain goes on with the child that has most descendants, so that the way from any
     commit to its root changes chains a logarithmic number of times. Commits that have come to
@@ -80,7 +80,7 @@ def chains(first: DataFrame) -> DataFrame:
     heavy = rows.where("parent IS NOT NULL").groupBy("parent").agg(F.max_by("sha", F.struct("size", "sha")).alias("sha")).withColumnRenamed("parent", "above")
     rows = staged(rows.join(heavy, "sha", "left").drop("size"), "rows")
     heads = follow(rows.select(F.col("sha").alias("id"), F.col("above").alias("next"), F.lit(False).alias("mark"))).select(F.col("id").alias("sha"), F.col("root").alias("chain"))
-    ups = rows.where("above IS NULL").select(F.col("sha").alias("chain"), F.col("parent").alias("up"))
+    ups = rows.where("above IS NULL").select(F.col("sha").alias("chain"), F.col("parent").alias("up"), F.col("depth").alias("top"))
     return rows.select("sha", "depth").join(heads, "sha").join(ups, "chain")
 
 

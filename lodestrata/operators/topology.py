@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import running_max, running_sum
 from ..plans.surrogate import Frames
-from ..sources.staging import staged, staged_count
+from ..sources.staging import Buckets, staged, staged_count
 from .lineage import BLOCK, FEW_ROWS, chains
 
 #: Seconds of corrected time that are numbered together.
@@ -22,7 +22,7 @@ _LEAST = -(1 << 62)
 
 
 def place(commits: DataFrame, parents: DataFrame) -> DataFrame:
-    """sha, chain, depth and up of every commit, by its first parent where that is one of `commits`."""
+    """sha, chain, depth, top and up of every commit, by its first parent where that is one of `commits`."""
     known = parents.where("n = 0").join(commits.select(F.col("sha").alias("parent")), "parent", "left_semi").select("sha", "parent")
     return staged(chains(staged(commits.select("sha").join(known, "sha", "left"), "first")), "place")
 
@@ -121,22 +121,27 @@ def topological(commits: DataFrame, parents: DataFrame) -> DataFrame:
 def reach(starts: DataFrame, steps: DataFrame) -> DataFrame:
     """target, chain and level: of each chain, how far a target reaches.
 
-    `starts` has target, until, chain and level; `steps` chain, level, to_chain, to_level and
-    stamp. A target that reaches a level of a chain reaches those below, takes the steps there
-    whose stamp is at most `until`, and holds the highest level of each chain. Only levels that
-    are new go on to the next round.
+    `starts` has target, until (one for each target), chain and level; `steps` chain, level,
+    to_chain, to_level and stamp. A target that reaches a level of a chain reaches those
+    below, takes the steps there whose stamp is at most `until`, and holds the highest level
+    of each chain. Only levels that are new go on to the next round, and only they are
+    written: what is held lies in buckets and is not moved again.
     """
-    state = staged(starts.groupBy("target", "until", "chain").agg(F.max("level").alias("level")).withColumn("under", F.lit(_LEAST)), "reach")
-    while not steps.isEmpty():
-        front = state.where("level > under").select("target", "until", "chain", F.col("level").alias("high"), "under")
-        met = front.join(steps, "chain").where((F.col("level") <= F.col("high")) & (F.col("level") > F.col("under")) & (F.col("stamp") <= F.col("until")))
-        gained = met.groupBy("target", "until", F.col("to_chain").alias("chain")).agg(F.max("to_level").alias("gain"))
-        held = F.coalesce("level", F.lit(_LEAST))
-        merged = state.drop("under").join(gained, ["target", "until", "chain"], "full").select("target", "until", "chain", F.greatest("level", "gain").alias("level"), held.alias("under"))
-        state, left = staged_count(merged, "reach", F.col("level") > F.col("under"))
-        if not left:
-            break
-    return state.select("target", "chain", "level")
+    keys = ["target", "chain"]
+    first = starts.groupBy(*keys).agg(F.max("until").alias("until"), F.max("level").alias("level")).withColumn("under", F.lit(_LEAST))
+    if steps.isEmpty():
+        return first.select(*keys, "level")
+    held, ways = Buckets(starts.sparkSession, "reach", keys), Buckets(starts.sparkSession, "steps", ["chain"])
+    ways.add(steps.withColumnRenamed("level", "at"))
+    front, left = held.add(first)
+    while left:
+        moved = front.withColumnRenamed("level", "high")
+        met = ways.rows().join(F.broadcast(moved) if left <= FEW_ROWS else ways.dealt(moved), "chain").where((F.col("at") <= F.col("high")) & (F.col("at") > F.col("under")) & (F.col("stamp") <= F.col("until")))
+        gained = held.dealt(met.select("target", F.col("to_chain").alias("chain"), "until", F.col("to_level").alias("level"))).groupBy(*keys).agg(F.max("until").alias("until"), F.max("level").alias("level"))
+        known = gained.hint("shuffle_hash").join(held.rows().select(*keys, F.col("level").alias("had")), keys, "left")
+        new = known.groupBy(*keys).agg(F.max("until").alias("until"), F.max("level").alias("level"), F.coalesce(F.max("had"), F.lit(_LEAST)).alias("under"))
+        front, left = held.add(new.where(F.col("level") > F.col("under")))
+    return held.rows().groupBy(*keys).agg(F.max("level").alias("level"))
 
 
 def ancestors(targets: DataFrame, where: DataFrame, cross: DataFrame) -> DataFrame:
@@ -184,12 +189,12 @@ def sizes(commits: DataFrame, parents: DataFrame, changes: DataFrame, targets: D
     `changes` are those against the first parent, with status, added and deleted; lines of
     binary files (null) count 0.
     """
-    where = place(commits, parents)
+    where = place(commits, parents).withColumn("depth", F.col("depth") - F.col("top"))  # depths within the chain, so that a level tells the commits
     held = ancestors(targets, where, crossings(where, parents))
-    tops = where.groupBy("chain").agg(F.min("depth").alias("top"))
-    reached = held.join(tops, "chain").groupBy(F.col("target").alias("sha")).agg(F.sum(F.col("level") - F.col("top") + 1).alias("commits"))
+    reached = held.groupBy(F.col("target").alias("sha")).agg(F.sum(F.col("level") + 1).alias("commits"))
     one = F.when(F.col("status").isin("A", "C"), 1).when(F.col("status") == "D", -1).otherwise(0)
     values = changes.groupBy("sha").agg(F.sum(one).cast("long").alias("files"), F.sum(F.coalesce("added", F.lit(0)) - F.coalesce("deleted", F.lit(0))).cast("long").alias("lines"))
+    values = staged(values, "values")
     return targets.select("sha").distinct().join(reached, "sha").join(tree_sums(where, values, ["files", "lines"]), "sha")
 
 
@@ -200,7 +205,8 @@ def topological_order(f: Frames) -> DataFrame:
 
 def release_sizes(f: Frames) -> DataFrame:
     """Commits, files and lines of the repository at each release, along the graph."""
-    return sizes(f.commits, f.graph_parents, f.changes, f.tags).select("sha", "commits", "files", "lines")
+    f.commits = staged(f.commits.select("repo", "customer", "sha", "local_day", "is_merge", "author_sec", "actor"), "commits")
+    return sizes(f.commits, staged(f.graph_parents, "parents"), f.changes, f.tags).select("sha", "commits", "files", "lines")
 
 
 MEASURES = {"src07_topological": topological_order, "src10_sizes": release_sizes}

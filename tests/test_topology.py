@@ -1,10 +1,12 @@
 """Order, reachability and sizes over a graph, against walks from commit to commit."""
 
 import random
+from pathlib import Path
 
 import pytest
 
 from lodestrata.operators import topology
+from lodestrata.sources import staging
 
 COMMITS, PARENTS = "repo long, sha long, author_sec long", "sha long, n int, parent long"
 CHANGES = "sha long, path string, status string, added long, deleted long"
@@ -107,3 +109,17 @@ def test_clocks_late_by_a_few_commits_need_no_chains(spark, monkeypatch):
         want[s] = max([clocks[s], *(want[p] + 1 for p in ps)])
     assert any(want[s] != clocks[s] for s in graph)
     assert {r.sha: r.corrected for r in topology.topological(commits, parents).collect()} == want
+
+
+def test_rounds_of_reach_write_what_is_new(spark, tmp_path, monkeypatch):
+    """Twelve chains one behind the other, the third of which is reached once more and higher: a round doesn't write the rows of the rounds before."""
+    starts = spark.createDataFrame([(t, 0, 0, 10) for t in range(20)], "target long, until long, chain long, level long")
+    steps = spark.createDataFrame([(c, 5, c + 1, 5 + (c == 9), 0) for c in range(12)] + [(5, 5, 3, 9, 0), (1, 7, 40, 1, 0), (2, 5, 41, 1, 1)], "chain long, level long, to_chain long, to_level long, stamp long")
+    monkeypatch.setattr(staging, "_own", [str(tmp_path)])
+    folder = Path((spark.conf.get("spark.checkpoint.dir", None) or str(tmp_path)).removeprefix("file://"))
+    before = set(folder.glob("staged-*/reach.parquet"))
+    got = {(r.target, r.chain): r.level for r in topology.reach(starts, steps).collect()}
+    levels = {0: 10, 3: 9, 10: 6} | {c: 5 for c in (1, 2, 4, 5, 6, 7, 8, 9, 11, 12)}
+    assert got == {(t, c): level for t in range(20) for c, level in levels.items()}
+    written = sum(spark.read.parquet(str(p)).count() for p in set(folder.glob("staged-*/reach.parquet")) - before)
+    assert written == len(got) + 20  # chain 3 twice
