@@ -16,7 +16,7 @@ from ..functions import rules
 from ..functions.observe import ratio
 from ..functions.ordering import as_of, with_previous
 from ..plans.surrogate import Frames
-from ..sources.staging import staged, staged_count
+from ..sources.staging import dealt, staged, staged_count
 
 #: Generations of a chain that are sorted together.
 BLOCK = 1024
@@ -46,14 +46,19 @@ def follow(nodes: DataFrame) -> DataFrame:
     while left:
         here = here.where("NOT ended")
         to = here.union(done).select(F.col("id").alias("root"), F.col("root").alias("far"), F.col("last").alias("later"), F.col("ended").alias("over"))
-        step = _few(here, left).join(to, "root").select("id", F.col("far").alias("root"), F.coalesce("later", "last").alias("last"), F.col("over").alias("ended"))
+        step = _few(here, left, "root").join(to, "root").select("id", F.col("far").alias("root"), F.coalesce("later", "last").alias("last"), F.col("over").alias("ended"))
         here, left = staged_count(step, "pointers", ~F.col("ended"))
         done = done.union(here.where("ended"))
     return done.drop("ended")
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df.drop("ended")) if rows <= FEW_ROWS else df.drop("ended")
+def _few(df: DataFrame, rows: int, key: str) -> DataFrame:
+    return F.broadcast(df.drop("ended")) if rows <= FEW_ROWS else spread(df.drop("ended"), rows, key)
+
+
+def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """`df` dealt out by `key`, if it is one of many rows: what a task of a join sorts stays small."""
+    return df if rows <= FEW_ROWS else dealt(df, rows, key)
 
 
 def chains(first: DataFrame) -> DataFrame:
@@ -71,17 +76,17 @@ def chains(first: DataFrame) -> DataFrame:
         gain = staged(reach.groupBy(F.col("far").alias("sha")).agg(F.sum("size").alias("gain")), "gain")
         gains = gains.union(gain)
         to = reach.select(F.col("sha").alias("far"), F.col("far").alias("next"), F.col("depth").alias("more")).union(done.select("sha", F.lit(None).cast(reach.schema["far"].dataType), "depth"))
-        step = _few(reach, left).join(to, "far").join(gain, "sha", "left")
+        step = spread(_few(reach, left, "far").join(to, "far"), left, "sha").join(gain, "sha", "left")
         step = step.select("sha", F.col("next").alias("far"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
         reach, left = staged_count(step, "reach", open_)
         done = done.union(reach.where(~open_).select("sha", "depth"))
     sizes = gains.groupBy("sha").agg(F.sum("gain").alias("size"))
-    rows = first.join(done, "sha").join(sizes, "sha", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    heavy = rows.where("parent IS NOT NULL").groupBy("parent").agg(F.max_by("sha", F.struct("size", "sha")).alias("sha")).withColumnRenamed("parent", "above")
-    rows = staged(rows.join(heavy, "sha", "left").drop("size"), "rows")
+    rows, n = staged_count(spread(first, first.count(), "sha").join(done, "sha").join(sizes, "sha", "left").withColumn("size", F.coalesce("size", F.lit(0))), "sized", F.lit(True))
+    heavy = spread(rows.where("parent IS NOT NULL"), n, "parent").groupBy("parent").agg(F.max_by("sha", F.struct("size", "sha")).alias("sha")).withColumnRenamed("parent", "above")
+    rows = staged(spread(rows.drop("size"), n, "sha").join(heavy, "sha", "left"), "rows")
     heads = follow(rows.select(F.col("sha").alias("id"), F.col("above").alias("next"), F.lit(False).alias("mark"))).select(F.col("id").alias("sha"), F.col("root").alias("chain"))
     ups = rows.where("above IS NULL").select(F.col("sha").alias("chain"), F.col("parent").alias("up"), F.col("depth").alias("top"))
-    return rows.select("sha", "depth").join(heads, "sha").join(ups, "chain")
+    return spread(spread(rows.select("sha", "depth"), n, "sha").join(heads, "sha"), n, "chain").join(ups, "chain")
 
 
 def found_before(reads: DataFrame, writes: DataFrame, place: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import running_max, running_sum
 from ..plans.surrogate import Frames
 from ..sources.staging import Buckets, staged, staged_count
-from .lineage import BLOCK, FEW_ROWS, chains
+from .lineage import BLOCK, FEW_ROWS, chains, spread
 
 #: Seconds of corrected time that are numbered together.
 SPAN = 30 * 86_400
@@ -30,7 +30,8 @@ def place(commits: DataFrame, parents: DataFrame) -> DataFrame:
 def crossings(where: DataFrame, parents: DataFrame) -> DataFrame:
     """The edges (sha, parent) between two chains, with `chain`, `depth` and `up_chain`, `up_depth` of their ends."""
     ends = where.select(F.col("sha").alias("parent"), F.col("chain").alias("up_chain"), F.col("depth").alias("up_depth"))
-    edges = parents.select("sha", "parent").join(where.select("sha", "chain", "depth"), "sha").join(ends, "parent")
+    n = where.count()
+    edges = spread(spread(parents.select("sha", "parent"), n, "sha").join(where.select("sha", "chain", "depth"), "sha"), n, "parent").join(ends, "parent")
     return staged(edges.where("chain <> up_chain").distinct(), "crossings")
 
 

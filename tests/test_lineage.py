@@ -5,6 +5,7 @@ import random
 
 from lodestrata.operators import lineage
 from lodestrata.plans.surrogate import Frames
+from lodestrata.sources import staging
 
 SCHEMAS = {
     "commits": "repo long, sha long, actor string, local_day date, ord long, author_sec long, is_merge boolean, is_bot boolean",
@@ -122,3 +123,19 @@ def test_commits_at_their_root_leave_the_rounds(spark, monkeypatch):
     for loop in ("reach", "pointers"):
         rounds = [n for name, n in counts if name == loop]
         assert rounds[0] == 72 and len(rounds) > 1 and max(rounds[1:]) <= 7
+
+
+def test_many_commits_are_dealt_out_by_number(spark, monkeypatch):
+    """Tasks get their rows by the number of rows, not by what adaptive execution joins to one; the chains are the same."""
+    first = spark.createDataFrame([(s, None if s == 1 else s - 1 if s % 50 else s // 2) for s in range(1, 600)], "sha long, parent long")
+    want = sorted(map(tuple, lineage.chains(first).collect()), key=str)
+    monkeypatch.setattr(lineage, "FEW_ROWS", 50)
+    monkeypatch.setattr(staging, "TASK_ROWS", 40, raising=False)
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lineage.chains(first)
+        assert len(want) == 599 and sorted(map(tuple, got.collect()), key=str) == want
+        assert got.rdd.getNumPartitions() >= 15
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
