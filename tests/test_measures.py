@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from lodestrata.functions.ordering import running_sum, with_previous
-from lodestrata.operators import commits, graph, paths
+from lodestrata.operators import commits, graph, paths, people
 from lodestrata.plans.surrogate import Frames
 from pyspark.sql import functions as F
 
@@ -126,3 +126,32 @@ def test_subjects_end_before_the_paths_of_their_commits(spark, sf_dir):
     plan = commits.retouches(Frames(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     last = plan[: plan.index("Window")]
     assert "subject" not in last and "corrective" in last
+
+
+def test_retouches_meet_over_the_end_of_a_year(spark):
+    days = ["2024-12-10", "2024-12-11", "2025-01-01", "2025-01-22", "2025-12-20", "2026-01-10", "2026-02-01", "2028-02-01"]
+    f = Literal(spark, [(d, "feat: more", ["app.py"]) for d in days])
+    assert [r.recent for r in commits.retouches(f).orderBy("sha").collect()] == [False, True, True, True, False, True, False, False]
+
+
+def test_paths_go_by_number(spark, sf_dir):
+    # neither the flags of commits nor retouches shuffle or sort lines by the text of a path, and lines are read once
+    for frame in (Frames(spark, sf_dir).flags, commits.retouches(Frames(spark, sf_dir))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(path" not in plan and "path#" not in plan
+        assert plan.count("ReadSchema: struct<l_orderkey") == 1
+
+
+def test_flags_of_paths_that_parts_share(spark, sf_dir):
+    f = Frames(spark, sf_dir)
+    given = Frames(spark, sf_dir).keep("changes")
+    assert f.files.groupBy("file").count().where("count > 1").limit(1).count() == (f.paths.groupBy("path").count().where("count > 1 AND path IS NOT NULL").limit(1).count())
+    assert sorted(f.flags.collect()) == sorted(given.flags.collect())
+    assert sorted(commits.retouches(f).collect()) == sorted(commits.retouches(given).collect())
+
+
+def test_roles_by_phase_read_no_lines(spark, sf_dir):
+    f = Frames(spark, sf_dir)
+    one = people.role_profile(f, ("phase",))
+    assert "lineitem" not in one._jdf.queryExecution().optimizedPlan().toString() and "l_orderkey" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(one.collect(), key=str) == sorted(people.role_profile(f).where("dimension = 'phase'").collect(), key=str)
