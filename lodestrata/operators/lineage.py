@@ -93,13 +93,15 @@ def found_before(reads: DataFrame, writes: DataFrame, place: DataFrame) -> DataF
     """The reads with `write`, the last write of their path at or above their place in the graph, or null.
 
     Reads have id, path, chain, depth and pos; writes write, path, chain, depth and pos.
-    A read that finds nothing in its chain goes on at the commit above it.
+    A read that finds nothing in its chain goes on at the commit above it. Of writes that
+    share a place the smallest comes last, so that their rows may come in any order: a
+    rename to its own path ends its file, as in the SQL.
     """
 
-    def at(df: DataFrame) -> DataFrame:
-        return df.withColumn("order", F.struct("depth", "pos"))
+    def at(df: DataFrame, tie: Column = F.lit(1 << 62)) -> DataFrame:
+        return df.withColumn("order", F.struct("depth", "pos", tie.alias("tie")))
 
-    held = staged(at(writes).select("chain", "path", "order", "write"), "writes")
+    held = staged(at(writes, -F.col("write")).select("chain", "path", "order", "write"), "writes")
     ups = staged(place.select("chain", "up").distinct().join(place.select(F.col("sha").alias("up"), F.col("chain").alias("next"), F.col("depth").alias("last")), "up", "left").select("chain", "next", "last"), "ups")
     done, open_ = None, staged(at(reads).select("id", "path", "chain", "order"), "reads")
     while True:

@@ -139,3 +139,13 @@ def test_many_commits_are_dealt_out_by_number(spark, monkeypatch):
         assert got.rdd.getNumPartitions() >= 15
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
+
+
+def test_writes_at_one_place_come_in_one_order(spark):
+    """A rename to its own path writes it twice at one place; whichever row comes first, its end is found, as in the SQL."""
+    place = spark.createDataFrame([(1, 1, 0, None, 0), (2, 1, 1, None, 0)], "sha long, chain long, depth long, up long, top long")
+    reads = spark.createDataFrame([(9, "p", 1, 1, 0)], "id long, path string, chain long, depth long, pos long")
+    own, away = (5, "p", 1, 0, 1), (-6, "p", 1, 0, 1)
+    for rows in ([own, away], [away, own]):
+        writes = spark.createDataFrame(rows, "write long, path string, chain long, depth long, pos long").coalesce(1)
+        assert [r.write for r in lineage.found_before(reads, writes, place).collect()] == [-6]
