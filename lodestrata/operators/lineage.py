@@ -16,7 +16,7 @@ from ..functions import rules
 from ..functions.observe import ratio
 from ..functions.ordering import as_of, with_previous
 from ..plans.surrogate import Frames
-from ..sources.staging import dealt, staged, staged_count
+from ..sources.staging import Buckets, dealt, staged, staged_count
 
 #: Generations of a chain that are sorted together.
 BLOCK = 1024
@@ -90,28 +90,56 @@ def chains(first: DataFrame) -> DataFrame:
 
 
 def found_before(reads: DataFrame, writes: DataFrame, place: DataFrame) -> DataFrame:
-    """The reads with `write`, the last write of their path at or above their place in the graph, or null.
+    """id and `write` of the reads that find one: the last write of their path at or above their place in the graph.
 
     Reads have id, path, chain, depth and pos; writes write, path, chain, depth and pos.
     A read that finds nothing in its chain goes on at the commit above it. Of writes that
     share a place the smallest comes last, so that their rows may come in any order: a
     rename to its own path ends its file, as in the SQL.
+
+    Writes are dealt out once, and a round moves only the reads that are open: the writes of
+    a path in a chain are one sorted row. Chains of over BLOCK generations, whose rows would
+    be large, are looked through in blocks (`as_of`).
     """
 
     def at(df: DataFrame, tie: Column = F.lit(1 << 62)) -> DataFrame:
         return df.withColumn("order", F.struct("depth", "pos", tie.alias("tie")))
 
-    held = staged(at(writes, -F.col("write")).select("chain", "path", "order", "write"), "writes")
-    ups = staged(place.select("chain", "up").distinct().join(place.select(F.col("sha").alias("up"), F.col("chain").alias("next"), F.col("depth").alias("last")), "up", "left").select("chain", "next", "last"), "ups")
-    done, open_ = None, staged(at(reads).select("id", "path", "chain", "order"), "reads")
+    ends = place.groupBy("chain").agg(F.first("up").alias("up"), (F.max(F.col("depth") - F.col("top")) >= BLOCK).alias("deep"))
+    ends, n_deep = staged_count(ends, "ends", F.col("deep"))
+    deep = ends.where("deep").select("chain")
+    ups = staged(ends.where("up IS NOT NULL").select("chain", "up").join(place.select(F.col("sha").alias("up"), F.col("chain").alias("next"), F.col("depth").alias("last")), "up").select("chain", "next", "last"), "ups")
+
+    def part(df: DataFrame, how: str) -> DataFrame:
+        return df.join(_few(deep, n_deep, "chain"), "chain", how)
+
+    made, open_ = at(writes, -F.col("write")).select("chain", "path", "order", "write"), at(reads).select("id", "path", "chain", "order")
+    if n_deep:
+        made, open_ = staged(made, "writes"), staged(open_, "reads")
+    buckets = Buckets(place.sparkSession, "held", ["chain", "path"])
+    rows = buckets.dealt(part(made, "left_anti") if n_deep else made)
+    _, n_held = buckets.add(rows.groupBy("chain", "path").agg(F.sort_array(F.collect_list(F.struct("order", "write"))).alias("made")), dealt=True)
+    long = staged(part(made, "left_semi"), "long") if n_deep else None
+    done = None
     while True:
-        over = F.col("write").isNotNull() | F.col("next").isNull()
-        looked, left = staged_count(as_of(open_, held, ["chain", "path"], "order", F.floor(F.col("order.depth") / BLOCK), "write").join(ups, "chain", "left"), "looked", ~over)
-        ends = looked.where(over).select("id", "write")
-        done = ends if done is None else done.union(ends)
+        near = part(open_, "left_anti") if n_deep else open_
+        if n_held:
+            met = buckets.dealt(near).join(buckets.rows(), ["chain", "path"], "left")
+            before = F.filter("made", lambda m: m["order"] < F.col("order"))
+            looked = met.select("id", "path", "chain", F.get(before, F.size(before) - 1)["write"].alias("write"))
+        else:
+            looked = near.select("id", "path", "chain", F.lit(None).cast("long").alias("write"))
+        if n_deep:
+            looked = looked.unionByName(as_of(part(open_, "left_semi"), long, ["chain", "path"], "order", F.floor(F.col("order.depth") / BLOCK), "write").select("id", "path", "chain", "write"))
+        looked, left = staged_count(looked, "looked", F.col("write").isNull())
+        hits = looked.where("write IS NOT NULL").select("id", "write")
+        done = hits if done is None else done.union(hits)
         if not left:
             return done
-        open_ = at(looked.where(~over).select("id", "path", F.col("next").alias("chain"), F.col("last").alias("depth"), F.lit(1 << 62).alias("pos"))).select("id", "path", "chain", "order")
+        on = spread(looked.where("write IS NULL").select("id", "path", "chain"), left, "chain").join(ups, "chain")
+        open_ = at(on.select("id", "path", F.col("next").alias("chain"), F.col("last").alias("depth"), F.lit(1 << 62).alias("pos"))).select("id", "path", "chain", "order")
+        if n_deep:
+            open_ = staged(open_, "reads")
 
 
 def lineage(commits: DataFrame, parents: DataFrame, changes: DataFrame) -> DataFrame:
@@ -137,15 +165,13 @@ def lineage(commits: DataFrame, parents: DataFrame, changes: DataFrame) -> DataF
     sides = rows.where(joins).select("id", "path", "sha").join(others, "sha").select("id", "path", "chain", "depth", F.lit(1 << 62).alias("pos"))
     found = staged(found_before(own.unionByName(sides), writes, place), "found")
 
-    offers = found.where("write IS NOT NULL").join(rows.where(joins).select("id"), "id").distinct()
-    offers = staged(offers, "offers")
-    single = offers.groupBy("id").agg(F.count("*").alias("offered"), F.min("write").alias("one"))
-    plain = found.join(rows.where(~added).select("id"), "id").select("id", F.col("write").alias("touches"))
-    nodes = rows.select("id", "status", joins.alias("mark")).join(plain, "id", "left").join(single, "id", "left")
-    pointer = F.when(F.col("status").isin("M", "R"), F.col("touches")).when(F.col("offered") == 1, F.col("one"))
-    kind = F.when(F.col("offered") > 1, "open").when(F.col("status").isin("A", "C"), "new").otherwise("none")
-    nodes = nodes.select("id", pointer.alias("next"), "mark", kind.alias("kind")).unionByName(moved_away.select(F.col("write").alias("id"), F.lit(None).cast("long").alias("next"), F.lit(False).alias("mark"), F.lit("none").alias("kind")))
-    nodes = staged(nodes, "nodes")
+    single = found.groupBy("id").agg(F.min("write").alias("one"), F.max("write").alias("most"))
+    nodes = rows.select("id", "status", joins.alias("mark")).join(single, "id", "left")
+    several = F.col("mark") & (F.col("one") != F.col("most"))
+    kind = F.when(several, "open").when(F.col("status").isin("A", "C"), "new").otherwise("none")
+    nodes = nodes.select("id", F.when((F.col("status") != "D") & ~F.coalesce(several, F.lit(False)), F.col("one")).alias("next"), F.when(F.col("status") == "D", F.col("one")).alias("ended"), "mark", kind.alias("kind"))
+    no_file = moved_away.select(F.col("write").alias("id"), F.lit(None).cast("long").alias("next"), F.lit(None).cast("long").alias("ended"), F.lit(False).alias("mark"), F.lit("none").alias("kind"))
+    nodes = staged(nodes.unionByName(no_file), "nodes")
     while True:
         ends = follow(nodes).join(nodes.select(F.col("id").alias("root"), "kind"), "root")
         creation = F.when(F.col("kind") == "new", F.col("root")).when(F.col("kind") == "none", F.col("last"))
@@ -154,21 +180,21 @@ def lineage(commits: DataFrame, parents: DataFrame, changes: DataFrame) -> DataF
             break
         open_ = nodes.where("kind = 'open'").select("id")
         # merges with several other parents that have the path: decided as soon as all of those are told
-        told = open_.join(offers, "id").join(resolved.select(F.col("id").alias("write"), "creation", "waits"), "write").groupBy("id").agg(
+        told = open_.join(found, "id").join(resolved.select(F.col("id").alias("write"), "creation", "waits"), "write").groupBy("id").agg(
             F.bool_or("waits").alias("waits"), F.min("creation").alias("low"), F.max("creation").alias("high"), F.min(F.when(F.col("creation").isNotNull(), F.col("write"))).alias("one")
         )
         told = told.where("NOT waits").select("id", F.when(F.col("low") == F.col("high"), F.col("one")).alias("to"), F.lit(True).alias("told"))
-        nodes = staged(nodes.join(told, "id", "left").select("id", F.when(F.col("told"), F.col("to")).otherwise(F.col("next")).alias("next"), "mark", F.when(F.col("told"), "new").otherwise(F.col("kind")).alias("kind")), "nodes")
-    led = nodes.select("id", "next").join(resolved.select("id", "creation"), "id")
-    out = rows.join(plain, "id", "left").join(led, "id").withColumn("touches", F.coalesce("next", "touches"))
-    ended = resolved.select(F.col("id").alias("touches"), F.col("creation").alias("was"))
-    return out.join(ended, "touches", "left").select("id", "sha", "pos", "path", "old_path", "status", "touches", F.when(F.col("status") == "D", F.col("was")).otherwise(F.col("creation")).alias("creation"))
+        nodes = staged(nodes.join(told, "id", "left").select("id", F.when(F.col("told"), F.col("to")).otherwise(F.col("next")).alias("next"), "ended", "mark", F.when(F.col("told"), "new").otherwise(F.col("kind")).alias("kind")), "nodes")
+    was = nodes.where("ended IS NOT NULL").select(F.col("id").alias("by"), F.col("ended").alias("id")).join(resolved.where("creation IS NOT NULL"), "id").select(F.col("by").alias("id"), F.col("creation").alias("was"))
+    led = nodes.where("id >= 0").select("id", F.coalesce("next", "ended").alias("touches")).join(resolved.select("id", "creation"), "id")
+    out = rows.join(led, "id").join(was, "id", "left")
+    return out.select("id", "sha", "pos", "path", "old_path", "status", "touches", F.when(F.col("status") == "D", F.col("was")).otherwise(F.col("creation")).alias("creation"))
 
 
 def touches(f: Frames) -> DataFrame:
     """The lineage of the history's changes, with the commit of each and that of its creation (`made_*`; no author in a merge)."""
     who = f.commits.select("sha", "repo", "actor", "author_sec", "is_merge", "is_bot", F.struct("local_day", "ord").alias("at"))
-    rows = staged(lineage(f.commits, f.graph_parents, f.graph_changes).join(who, "sha"), "lineage")
+    rows = staged(lineage(f.commits, f.graph_parents, f.graph_changes).drop("path", "old_path").join(who, "sha"), "lineage")
     made = rows.where(F.col("id") == F.col("creation")).select("creation", F.when(~F.col("is_merge"), F.col("actor")).alias("made_by"), (F.col("is_bot") & ~F.col("is_merge")).alias("made_by_bot"), F.col("author_sec").alias("made_sec"))
     return rows.join(made, "creation", "left")
 

@@ -149,3 +149,20 @@ def test_writes_at_one_place_come_in_one_order(spark):
     for rows in ([own, away], [away, own]):
         writes = spark.createDataFrame(rows, "write long, path string, chain long, depth long, pos long").coalesce(1)
         assert [r.write for r in lineage.found_before(reads, writes, place).collect()] == [-6]
+
+
+def test_writes_are_dealt_out_once(spark, monkeypatch):
+    """Rounds move the reads that are open, and not all writes again: as_of, which shuffles both, is left for chains of over BLOCK generations."""
+    sides = []
+
+    def seen(left, right, *rest):
+        sides.append(right)
+        return plain(left, right, *rest)
+
+    plain = lineage.as_of
+    monkeypatch.setattr(lineage, "as_of", seen)
+    rows = drawn(2, 90)
+    f = Graph(spark, rows)
+    got = lineage.lineage(f.commits, f.graph_parents, f.graph_changes).collect()
+    where = {r.id: (r.sha, r.pos) for r in got}
+    assert {(r.sha, r.pos): where.get(r.creation) for r in got} == walked(rows) and not sides
