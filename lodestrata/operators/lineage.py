@@ -16,7 +16,7 @@ from ..functions import rules
 from ..functions.observe import ratio
 from ..functions.ordering import as_of, with_previous
 from ..plans.surrogate import Frames
-from ..sources.staging import Buckets, dealt, staged, staged_count
+from ..sources.staging import Buckets, dealt, settled, staged, staged_count
 
 #: Generations of a chain that are sorted together.
 BLOCK = 1024
@@ -150,7 +150,7 @@ def lineage(commits: DataFrame, parents: DataFrame, changes: DataFrame) -> DataF
     creation of an A or C is its own id or, in a merge, that of the file it takes over; that
     of M, R and D is null where there was no file.
     """
-    place = staged(chains(staged(first_parents(commits, parents), "first")), "chains")
+    place = settled(lambda: chains(staged(first_parents(commits, parents), "first")), "chains")
     rows = changes.where("status <> 'R' OR old_path IS NOT NULL").join(commits.select("sha", "is_merge"), "sha").join(place.select("sha", "chain", "depth"), "sha")
     rows = staged(rows.withColumn("id", F.monotonically_increasing_id()), "changes")
     status = F.col("status")
@@ -194,7 +194,8 @@ def lineage(commits: DataFrame, parents: DataFrame, changes: DataFrame) -> DataF
 def touches(f: Frames) -> DataFrame:
     """The lineage of the history's changes, with the commit of each and that of its creation (`made_*`; no author in a merge)."""
     who = f.commits.select("sha", "repo", "actor", "author_sec", "is_merge", "is_bot", F.struct("local_day", "ord").alias("at"))
-    rows = staged(lineage(f.commits, f.graph_parents, f.graph_changes).drop("path", "old_path").join(who, "sha"), "lineage")
+    commits, parents, changes = f.commits, f.graph_parents, f.graph_changes
+    rows = settled(lambda: lineage(commits, parents, changes).drop("path", "old_path").join(who, "sha"), "lineage")
     made = rows.where(F.col("id") == F.col("creation")).select("creation", F.when(~F.col("is_merge"), F.col("actor")).alias("made_by"), (F.col("is_bot") & ~F.col("is_merge")).alias("made_by_bot"), F.col("author_sec").alias("made_sec"))
     return rows.join(made, "creation", "left")
 
@@ -216,7 +217,7 @@ def file_experience(f: Frames) -> DataFrame:
     * adopted: of the creations that lived ADOPTION_DAYS within the history, those that somebody else touched after that time;
     * returns: of the touches of own files, those RETURN_DAYS or more after the own touch before.
     """
-    rows = staged(touches(f), "touches")
+    rows = settled(lambda: touches(f), "touches")
     day = 86_400
     human = ~F.col("is_merge") & ~F.col("is_bot")
     edits = rows.where(human & F.col("status").isin("M", "R") & F.col("made_by").isNotNull())

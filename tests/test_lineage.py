@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 from lodestrata.operators import lineage
 from lodestrata.plans.surrogate import Frames
@@ -166,3 +167,19 @@ def test_writes_are_dealt_out_once(spark, monkeypatch):
     got = lineage.lineage(f.commits, f.graph_parents, f.graph_changes).collect()
     where = {r.id: (r.sha, r.pos) for r in got}
     assert {(r.sha, r.pos): where.get(r.creation) for r in got} == walked(rows) and not sides
+
+
+def test_tables_on_the_way_are_deleted(spark, monkeypatch):
+    """Of the staged tables, those that the result reads are left."""
+    places, plain = [], staging._place
+
+    def placed(session, name):
+        places.append(plain(session, name))
+        return places[-1]
+
+    monkeypatch.setattr(staging, "_place", placed)
+    rows = [(1, 0, "alice", [], [("A", "a", None)]), (2, 30, "bob", [1], [("M", "a", None)]), (3, 40, "bob", [2], [("R", "b", "a")])]
+    out = lineage.file_experience(Graph(spark, rows))
+    left = [p for p in map(Path, (p.removeprefix("file:") for p in places)) if p.exists()]
+    assert len(places) > 20 and {p.stem for p in left} == {"touches", "marks", "pointers"}
+    assert {(r.actor, r.edit_commits, r.cross_author) for r in out.collect()} == {("alice", 0, 0), ("bob", 2, 2)}
